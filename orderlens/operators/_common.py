@@ -49,24 +49,23 @@ def status_is(df: DataFrame, value: str) -> Column:
     return F.coalesce(col_or_null(df, "order_status") == F.lit(value), F.lit(False))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` treating NULL = NULL (groupBy keeps NULL groups)."""
-    keys = list(keys)
-    if not keys:
-        raise ValueError("null_safe_join needs at least one key")
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
+def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named ``keys``.
+
+    Scope keys (seller_id, upload_id, ...) are lineage ids and expected to
+    be non-null; plain equality keeps the aggregates' hash partitioning,
+    so a join of two aggregates on their group keys needs no new shuffle.
+    """
+    return left.join(right, list(keys), how)
+
+
+def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to no scope group (NULL key) are left out."""
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        c = F.col(k).isNotNull()
         cond = c if cond is None else cond & c
-    out = left.join(r, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return out
-    if how in ("full", "full_outer", "outer", "right", "right_outer"):
-        out = out.select(*[F.coalesce(F.col(k), F.col(f"__r_{k}")).alias(k) for k in keys],
-                         *[c for c in out.columns if c not in keys and not c.startswith("__r_")])
-    return out.drop(*[f"__r_{k}" for k in keys])
+    return df if cond is None else df.filter(cond)
 
 
 def top_k(df: DataFrame, scope: Scope | None, order: list[Column], k: int,

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from orderlens.functions import allowed_file, basename, glob_to_regex, secure_filename
 from orderlens.functions.dates import DISPLAY_DATE, DISPLAY_TIMESTAMP
-from orderlens.operators._common import null_safe_join
 from orderlens.schema import UPLOAD_GLOB
 
 _UPLOAD_FIELDS = ["upload_id", "seller_id", "filename", "original_name", "filepath", "upload_date", "row_count"]
@@ -225,5 +224,4 @@ __all__ = [
     "discover_uploads", "existing_uploads", "latest_existing_upload", "upload_row_counts",
     "seller_from_filename", "register_uploads", "stored_name", "dedupe_uploads", "delete_uploads",
     "purge_sellers", "upsert_by_key", "evolve_schema", "unique_violations", "select_uploads",
-    "null_safe_join",
 ]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import clip, ratio, rint_k, sum0
 from orderlens.operators._common import (
     DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, has, is_returned, money,
-    null_safe_join, scope_cols, top_k,
+    scope_cols, top_k,
 )
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
 
@@ -98,9 +98,9 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     """Per category: revenue, orders, returns, return_cost, profit_margin,
     return_rate, avg_order_value and performance_score.
 
-    ``performance_score`` normalises revenue by the scope's best category:
-    that maximum is a second (tiny) aggregate joined back on the scope key,
-    so no window has to hold a whole scope group in one task.
+    ``performance_score`` normalises revenue by the scope's best category,
+    a window max over the aggregated rows (one per category, never raw
+    order lines).
     """
     keys = scope_cols(scope)
     c = with_category(orders, dim)
@@ -121,11 +121,9 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
         rint_k(ratio("returns", "orders") * F.lit(100.0), 2).alias("return_rate"),
         rint_k(ratio("_rev", "orders"), 2).alias("avg_order_value"),
     )
-    if keys:
-        mx = g.groupBy(*keys).agg(F.max("revenue").alias("_max_rev"))
-        g = null_safe_join(g, mx, keys, "inner")
-    else:
-        g = g.withColumn("_max_rev", g.agg(F.max("revenue")).scalar())
+    # Max over the scope's already-aggregated category rows (one row per
+    # category), so the order scan and its aggregate run once.
+    g = g.withColumn("_max_rev", F.max("revenue").over(Window.partitionBy(*keys)))
     score = (ratio("revenue", "_max_rev") * F.lit(SCORE_REVENUE_WEIGHT)
              + (F.lit(100.0) - F.col("return_rate")) * F.lit(SCORE_RETURN_WEIGHT)
              + clip(F.col("profit_margin"), 0.0, SCORE_MARGIN_CAP) / F.lit(SCORE_MARGIN_CAP)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import guarded_percent, month_index, month_label, parse_dmy, ratio, rint_k, sum0
 from orderlens.operators._common import (
-    DEFAULT_SCOPE, Scope, col_or_null, has, is_returned, money, null_safe_join, scope_cols, status_is,
+    DEFAULT_SCOPE, Scope, col_or_null, has, is_returned, key_join, money, scope_cols, status_is,
 )
 from orderlens.schema import FALLBACK_YEARS, STATUS_CANCELLED, STATUS_DELIVERED
 
@@ -99,29 +99,28 @@ def month_return_reasons(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
 
 _MEASURES = ["total_orders", "total_quantity", "total_revenue", "avg_order_value",
              "delivered_count", "cancelled_count", "returned_count", "return_cost", "return_rate"]
-
-
-def _side(kpis: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    return kpis.select(*keys, (month_index("year", "month")).alias(f"_ym{tag}"),
-                       *[F.col(c).alias(f"{c}{tag}") for c in _MEASURES])
-
-
-def _compare(pairs: DataFrame, kpis: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach both months' KPIs (zeros + has_data=false when a month has no
-    rows) to ``pairs(keys, _ym1, _ym2)`` and compute the changes."""
-    a = _side(kpis, keys, "1")
-    b = _side(kpis, keys, "2")
-    j = null_safe_join(null_safe_join(pairs, a, keys + ["_ym1"], "left"), b, keys + ["_ym2"], "left")
+_INT_MEASURES = {"total_orders", "total_quantity", "delivered_count", "cancelled_count", "returned_count"}
+
+
+def _compare(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """``tagged(keys, _ym1, _ym2, _side, <measures>)`` holds each month row
+    once per pair it belongs to, as side 1 or side 2.  A conditional
+    aggregate per (keys, pair) pivots the two sides into one row (no join);
+    a side without a row becomes zeros with ``has_dataN = false``."""
+    m = F.struct(*[F.col(c) for c in _MEASURES])
+    g = tagged.groupBy(*keys, "_ym1", "_ym2").agg(
+        F.max(F.when(F.col("_side") == 1, m)).alias("_a"),
+        F.max(F.when(F.col("_side") == 2, m)).alias("_b"))
     cols = [*keys]
-    for t in ("1", "2"):
+    for t, side in (("1", "_a"), ("2", "_b")):
         ym = F.col(f"_ym{t}")
-        y, m = F.floor(ym / 12).cast("int"), (F.pmod(ym, F.lit(12)) + 1).cast("int")
-        cols += [y.alias(f"year{t}"), m.alias(f"month{t}"), month_label(y, m).alias(f"month_year{t}"),
-                 F.col(f"total_orders{t}").isNotNull().alias(f"has_data{t}")]
+        y, mo = F.floor(ym / 12).cast("int"), (F.pmod(ym, F.lit(12)) + 1).cast("int")
+        cols += [y.alias(f"year{t}"), mo.alias(f"month{t}"), month_label(y, mo).alias(f"month_year{t}"),
+                 F.col(side).isNotNull().alias(f"has_data{t}")]
         for c in _MEASURES:
-            zero = F.lit(0).cast("bigint") if c.endswith(("orders", "count", "quantity")) else F.lit(0.0)
-            cols.append(F.coalesce(F.col(f"{c}{t}"), zero).alias(f"{c}{t}"))
-    z = j.select(*cols)
+            zero = F.lit(0).cast("bigint") if c in _INT_MEASURES else F.lit(0.0)
+            cols.append(F.coalesce(F.col(f"{side}.{c}"), zero).alias(f"{c}{t}"))
+    z = g.select(*cols)
     rev_diff = F.col("total_revenue2") - F.col("total_revenue1")
     ord_diff = F.col("total_orders2") - F.col("total_orders1")
     aov_diff = F.col("avg_order_value2") - F.col("avg_order_value1")
@@ -147,8 +146,10 @@ def month_comparison(orders: DataFrame, month1: Month, month2: Month,
     k = month_kpis(orders, keys, months=[month1, month2])
     ym1 = month1[0] * 12 + month1[1] - 1
     ym2 = month2[0] * 12 + month2[1] - 1
-    pairs = k.select(*keys).distinct().select(*keys, F.lit(ym1).alias("_ym1"), F.lit(ym2).alias("_ym2"))
-    return _compare(pairs, k, keys)
+    ym = month_index("year", "month")
+    tagged = k.select(*keys, *_MEASURES, F.lit(ym1).alias("_ym1"), F.lit(ym2).alias("_ym2"),
+                      F.when(ym == ym1, 1).otherwise(2).alias("_side"))
+    return _compare(tagged, keys)
 
 
 def month_over_month(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
@@ -157,11 +158,12 @@ def month_over_month(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) ->
     keys = scope_cols(scope)
     k = month_kpis(orders, keys)
     ym = month_index("year", "month")
-    pairs = (k.select(*keys, F.explode(F.array(
-        F.struct((ym - 1).alias("_ym1"), ym.alias("_ym2")),
-        F.struct(ym.alias("_ym1"), (ym + 1).alias("_ym2")))).alias("p"))
-        .select(*keys, "p._ym1", "p._ym2").distinct())
-    return _compare(pairs, k, keys)
+    roles = F.array(
+        F.struct((ym - 1).alias("_ym1"), ym.alias("_ym2"), F.lit(2).alias("_side")),
+        F.struct(ym.alias("_ym1"), (ym + 1).alias("_ym2"), F.lit(1).alias("_side")))
+    tagged = (k.select(*keys, *_MEASURES, F.explode(roles).alias("r"))
+              .select(*keys, *_MEASURES, "r._ym1", "r._ym2", "r._side"))
+    return _compare(tagged, keys)
 
 
 def available_years(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
@@ -178,6 +180,6 @@ def available_years(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
         fb = years.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
         fb = fb.select(F.explode(F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")).alias("year"))
         return years.unionByName(fb)
-    missing = null_safe_join(all_groups.distinct(), years.select(*keys).distinct(), keys, "left_anti")
+    missing = key_join(all_groups.distinct(), years.select(*keys).distinct(), keys, "left_anti")
     fb = missing.select(*keys, F.explode(F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")).alias("year"))
     return years.unionByName(fb)

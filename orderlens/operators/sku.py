@@ -10,7 +10,7 @@ from orderlens.functions import (
 )
 from orderlens.functions.text import SKU_NAME_LEN, SKU_SHORT_LEN
 from orderlens.operators._common import (
-    DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, is_returned, money, null_safe_join,
+    DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, drop_null_keys, is_returned, key_join, money,
     scope_cols, status_is, top_k,
 )
 from orderlens.operators.kpis import TOP_RETURNED_K
@@ -60,14 +60,14 @@ def sku_stats_join(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> Da
     keys = scope_cols(scope)
     jk = keys + ["sku"]
     sku = col_or_null(orders, "sku_description")
-    base = orders.filter(sku.isNotNull()).withColumn("sku", sku)
+    base = drop_null_keys(orders, keys).filter(sku.isNotNull()).withColumn("sku", sku)
     stats = base.groupBy(*jk).agg(F.count(col_or_null(orders, "order_id")).alias("orders"),
                                   sum0(col_or_null(orders, "order_price")).alias("_rev"),
                                   F.bool_and(absent_in_row(orders, "return_cost")).alias("_no_rc"),
                                   F.bool_and(absent_in_row(orders, "order_status")).alias("_no_status"))
     rc = base.groupBy(*jk).agg(F.sum(col_or_null(orders, "return_cost")).alias("_rc_sum"))
     ret = base.filter(is_returned(orders)).groupBy(*jk).agg(F.count(F.lit(1)).alias("_ret_n"))
-    j = null_safe_join(null_safe_join(stats, rc, jk, "left"), ret, jk, "left")
+    j = key_join(key_join(stats, rc, jk, "left"), ret, jk, "left")
     j = j.select(*jk, "orders", "_rev", "_no_rc", "_no_status",
                  F.coalesce(F.col("_rc_sum"), F.lit(0)).alias("_rc"),
                  F.coalesce(F.col("_ret_n"), F.lit(0)).cast("bigint").alias("return_count"))
@@ -118,15 +118,15 @@ def sku_detail(orders: DataFrame, requests: DataFrame, scope: Scope | None = DEF
     keys = scope_cols(scope)
     jk = keys + ["sku"]
     sku = col_or_null(orders, "sku_description")
-    base = orders.withColumn("sku", sku).filter(F.col("sku").isNotNull())
-    req = requests.select(*jk).distinct()
-    base = null_safe_join(base, req, jk, "left_semi")
+    base = drop_null_keys(orders, keys).withColumn("sku", sku).filter(F.col("sku").isNotNull())
+    req = drop_null_keys(requests.select(*jk), jk).distinct()
+    base = key_join(base, req, jk, "left_semi")
     g = base.groupBy(*jk).agg(
         F.count(F.lit(1)).alias("_rows"),
         sum0(col_or_null(orders, "order_price")).alias("_rev"),
         F.count_if(is_returned(orders)).alias("_ret"),
     )
-    j = null_safe_join(req, g, jk, "left")
+    j = key_join(req, g, jk, "left")
     rows = F.coalesce(F.col("_rows"), F.lit(0)).cast("bigint")
     ret = F.coalesce(F.col("_ret"), F.lit(0)).cast("bigint")
     return j.select(

@@ -182,7 +182,8 @@ def q_date_parse(spark, sf):
         F.concat(F.lit("0"), d),
         F.concat(F.lit("31"), F.substring(d, 3, 8)),
     )
-    raw = (_orders(spark, sf).select(F.explode(variants).alias("raw")).distinct())
+    dates = _orders(spark, sf).select("order_date").distinct()
+    raw = dates.select(F.explode(variants).alias("raw")).distinct()
     return raw.select("raw", parse_dmy("raw").alias("order_dt"))
 
 

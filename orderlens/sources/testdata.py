@@ -31,8 +31,27 @@ CATALOG_CUTOFF = "2024-01-16 00:00:00"
 UPLOAD_FOLDER = "uploads"
 
 
+# Hash key used to spread a table whose scan has too few splits.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "events": "event_id"}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread_narrow_scan(df, key) if key else df
+
+
+def spread_narrow_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer input splits than task slots.
+
+    A file with a single parquet row group is read by one task, and every
+    per-row expression before the first shuffle then runs on one core.  A
+    large table has many splits and is left alone (no extra shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
 
 
 def _case(col: str, pairs) -> F.Column:
