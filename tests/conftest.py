@@ -1,0 +1,63 @@
+import os
+import sys
+from datetime import datetime
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+
+DATA = os.path.join(ROOT, "tests", "data")
+FILES = {
+    1: os.path.join(DATA, "orders_a_2025_01.csv"),
+    2: os.path.join(DATA, "orders_b_2025_02.csv"),
+    3: os.path.join(DATA, "orders_c_2025_03.csv"),
+}
+SELLER = 4
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+
+    from orderlens.session import ensure_checkpoint_dir, local_session
+
+    s = (SparkSession.builder.master("local[*]")
+         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.session.timeZone", "UTC")
+         .getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(s)
+    local_session  # noqa: B018  (same defaults module)
+    yield s
+
+
+@pytest.fixture(scope="session")
+def uploads(spark):
+    from orderlens.schema import UPLOAD_SCHEMA
+
+    rows = [(uid, SELLER, os.path.basename(p), os.path.basename(p), p, datetime(2025, 4, uid), 0)
+            for uid, p in FILES.items()]
+    return spark.createDataFrame(rows, UPLOAD_SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sample_orders(spark, uploads):
+    from orderlens.sources import read_orders_csv
+
+    df = read_orders_csv(spark, list(FILES.values()), uploads=uploads)
+    return df.cache()
+
+
+@pytest.fixture()
+def tmp_dir(tmp_path):
+    return str(tmp_path)
+
+
+def write_csv(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
