@@ -29,13 +29,26 @@ def _newest_first() -> list[Column]:
 
 def uploads_list(uploads: DataFrame) -> DataFrame:
     """Each seller's uploads newest first with their list position (0 = newest)
-    and the upload time as 'yyyy-MM-dd HH:mm:ss'."""
-    w = Window.partitionBy("seller_id").orderBy(*_newest_first())
-    return uploads.select(
+    and the upload time as 'yyyy-MM-dd HH:mm:ss'.
+
+    The position is computed in two levels so that no task holds all
+    uploads of one seller: rank within (seller, hour of upload), plus the
+    number of the seller's uploads in later hours, a running sum over the
+    small per-hour aggregate.
+    """
+    bucket = F.coalesce(F.date_trunc("hour", "upload_date"), F.lit("0001-01-01").cast("timestamp"))
+    u = uploads.withColumn("_bucket", bucket)
+    per_bucket = u.groupBy("seller_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("seller_id").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("seller_id", "_bucket", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("seller_id", "_bucket").orderBy(*_newest_first())
+    ranked = u.withColumn("_r", F.row_number().over(within) - 1)
+    j = ranked.join(offsets, ["seller_id", "_bucket"], "inner")
+    return j.select(
         "seller_id", "upload_id", "filename", "original_name", "filepath",
         F.date_format("upload_date", DISPLAY_TIMESTAMP).alias("upload_date"),
         "row_count",
-        (F.row_number().over(w) - 1).alias("position"),
+        (F.col("_before") + F.col("_r")).cast("int").alias("position"),
     )
 
 
