@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import clip, ratio, rint_k, sum0
 from orderlens.operators._common import (
-    DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, has, is_returned, money,
+    ABSENT_COL, DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, has, is_returned, money,
     scope_cols, top_k,
 )
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
@@ -70,7 +70,8 @@ def with_category(orders: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """
     own = col_or_null(orders, "category")
     use_own = ~absent_in_row(orders, "category")
-    if not has(orders, "catalogue_id"):
+    if not has(orders, "catalogue_id") or (has(orders, "category") and not has(orders, ABSENT_COL)):
+        # every row carries its own category (or none can be mapped): no lookup
         return orders.withColumn("_category", F.when(use_own, own))
     builtin = dim is None
     d = catalogue_dim(orders.sparkSession) if builtin else dim
