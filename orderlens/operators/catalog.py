@@ -116,6 +116,14 @@ def seller_from_filename(filename: Column | str) -> Column:
     return F.substring_index(f, "_", 1).try_cast("bigint")
 
 
+def seller_from_path(filepath: Column | str) -> Column:
+    """Owner of a file: the ``seller_id=<n>`` folder on its path if any,
+    else the numeric prefix of its name."""
+    p = F.col(filepath) if isinstance(filepath, str) else filepath
+    folder = F.regexp_extract(p, r"(^|/)seller_id=(\d+)/", 2)
+    return F.coalesce(F.when(folder != "", folder.cast("bigint")), seller_from_filename(basename(p)))
+
+
 def register_uploads(new_files: DataFrame, seller_id: Column | None = None) -> DataFrame:
     """Catalog rows for new files ``(filename, filepath, row_count)``.
 
@@ -123,7 +131,7 @@ def register_uploads(new_files: DataFrame, seller_id: Column | None = None) -> D
     after a lost task or a repeated scan yields the same id, and assigned
     without a global counter (no single-task numbering).
     """
-    owner = seller_id if seller_id is not None else seller_from_filename("filename")
+    owner = seller_id if seller_id is not None else seller_from_path("filepath")
     return new_files.select(
         (F.xxhash64("filepath").bitwiseAND(F.lit(_ID_MASK))).alias("upload_id"),
         owner.cast("bigint").alias("seller_id"),
@@ -235,6 +243,6 @@ def select_uploads(requests: DataFrame, uploads: DataFrame, listing: DataFrame)
 __all__ = [
     "uploads_list", "uploads_by_date", "latest_upload", "upload_lookup", "matching_files",
     "discover_uploads", "existing_uploads", "latest_existing_upload", "upload_row_counts",
-    "seller_from_filename", "register_uploads", "stored_name", "dedupe_uploads", "delete_uploads",
+    "seller_from_filename", "seller_from_path", "register_uploads", "stored_name", "dedupe_uploads", "delete_uploads",
     "purge_sellers", "upsert_by_key", "evolve_schema", "unique_violations", "select_uploads",
 ]

@@ -82,6 +82,11 @@ SELECT seller_id,
 FROM o GROUP BY seller_id
 """
 
+# Order files written from the same rows and read back (batch CSV reader /
+# streaming folder ingest) give exactly the seller KPIs.
+SQL["orders_csv_kpis"] = SQL["seller_kpis"]
+SQL["stream_ingest_kpis"] = SQL["seller_kpis"]
+
 SQL["kpi_missing_cols"] = f"""
 SELECT seller_id,
   COUNT(*) AS total_orders,

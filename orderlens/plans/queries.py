@@ -9,6 +9,7 @@ the ``events`` and ``supplier`` rows, so their size grows with the data.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,48 @@ def q_orders_union(spark, sf):
     return _scan_out(u)
 
 
+def export_orders_csv(spark, sf) -> str:
+    """Write the test orders as CSV order files, one folder per seller
+    (``seller_id=<n>/``); even sellers' files list the columns in file
+    order, odd sellers' in reverse order.  Returns the folder."""
+    import uuid
+
+    from orderlens.session import checkpoint_path
+    o = _orders(spark, sf)
+    cols = [n for n, _ in ORDER_COLUMNS]
+    root = checkpoint_path(spark, f"order-files-{uuid.uuid4().hex}")
+    even = F.pmod(F.col("seller_id"), F.lit(2)) == 0
+    for sub, cond, order in (("a", even, cols), ("b", ~even, list(reversed(cols)))):
+        # one file per seller (bounded in size), not one per seller and task
+        (o.filter(cond).select("seller_id", *order).repartition("seller_id")
+         .write.partitionBy("seller_id").option("header", True)
+         .option("maxRecordsPerFile", 1_000_000).csv(f"{root}/{sub}"))
+    return root
+
+
+def q_orders_csv_kpis(spark, sf):
+    """Seller KPIs of order files read back from CSV (columns matched by
+    name per file; owner from the seller folder)."""
+    from orderlens.operators.catalog import seller_from_path
+    from orderlens.sources.csv_orders import read_orders_csv
+    root = export_orders_csv(spark, sf)
+    o = read_orders_csv(spark, [f"{root}/a", f"{root}/b"], recursiveFileLookup=True, pathGlobFilter="*.csv")
+    return kpis.seller_kpis(o.withColumn("seller_id", seller_from_path("source_file")))
+
+
+def q_stream_ingest_kpis(spark, sf):
+    """Seller KPIs of the same order files picked up by the streaming
+    folder ingest (each file once, catalog row per file)."""
+    from orderlens.session import checkpoint_path
+    from orderlens.streaming import ingest_folder
+    root = export_orders_csv(spark, sf)
+    out = checkpoint_path(spark, f"ingest-{os.path.basename(root)}")
+    q = ingest_folder(spark, root, f"{out}/orders", f"{out}/catalog", checkpoint=f"{out}/ckpt",
+                      pattern="*.csv", recursive=True)
+    q.awaitTermination()
+    return kpis.seller_kpis(spark.read.parquet(f"{out}/orders"))
+
+
 # --- dashboard KPIs ----------------------------------------------------------
 
 def q_seller_kpis(spark, sf):
@@ -337,6 +380,8 @@ QUERIES: dict[str, Query] = {
     "orders_scan": q_orders_scan,
     "orders_union": q_orders_union,
     "seller_kpis": q_seller_kpis,
+    "orders_csv_kpis": q_orders_csv_kpis,
+    "stream_ingest_kpis": q_stream_ingest_kpis,
     "kpi_missing_cols": q_kpi_missing_cols,
     "kpi_json": q_kpi_json,
     "daily_sales": q_daily_sales,
