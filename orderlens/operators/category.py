@@ -166,17 +166,23 @@ def category_insights(scorecard: DataFrame, scope: Scope | None = DEFAULT_SCOPE)
 
 def category_recommendations(scorecard: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
     """'focus_high_returns' when any category is a danger; 'expand_top_category'
-    naming the top category by revenue (ties by name)."""
+    naming the top category by revenue (ties by name).  One aggregate of
+    the scorecard: ``bool_or`` for the danger and ``min_by`` over
+    (-revenue, name) for the best category."""
     keys = scope_cols(scope)
-    danger = (scorecard.filter(F.col("return_rate") > HIGH_RETURN_RATE)
-              .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .select(*keys, F.lit("focus_high_returns").alias("rule"),
-                      F.lit(None).cast("string").alias("name"),
-                      F.lit(MSG_FOCUS_RETURNS).alias("message")))
-    best = top_k(scorecard, keys, [F.desc("revenue"), F.asc("name")], 1)
-    best = best.select(*keys, F.lit("expand_top_category").alias("rule"), "name",
-                       _fill(MSG_EXPAND_TOP, F.col("name")).alias("message"))
-    return danger.unionByName(best)
+    g = scorecard.groupBy(*keys).agg(
+        F.bool_or(F.coalesce(F.col("return_rate") > HIGH_RETURN_RATE, F.lit(False))).alias("_danger"),
+        F.min_by("name", F.struct((-F.col("revenue")).alias("r"), F.col("name").alias("n"))).alias("_best"))
+    rec_type = "struct<rule:string,name:string,message:string>"
+    focus = F.when(F.col("_danger"), F.struct(F.lit("focus_high_returns").alias("rule"),
+                                              F.lit(None).cast("string").alias("name"),
+                                              F.lit(MSG_FOCUS_RETURNS).alias("message")))
+    best = F.when(F.col("_best").isNotNull(), F.struct(F.lit("expand_top_category").alias("rule"),
+                                                       F.col("_best").alias("name"),
+                                                       _fill(MSG_EXPAND_TOP, F.col("_best")).alias("message")))
+    recs = F.filter(F.array(focus.cast(rec_type), best.cast(rec_type)), lambda x: x.isNotNull())
+    return (g.select(*keys, F.explode(recs).alias("r"))
+            .select(*keys, "r.rule", "r.name", "r.message"))
 
 
 def category_actions(scorecard: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:

@@ -170,16 +170,21 @@ def available_years(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
                     groups: DataFrame | None = None) -> DataFrame:
     """Distinct years with a parseable order date per group; groups with
     none (all groups of ``orders``, plus ``groups`` if given) get the
-    fallback years."""
+    fallback years.
+
+    One aggregate: the set of years of a group is bounded by the calendar
+    (a few dozen values), so it is collected per group and exploded, with
+    the fallback when empty.
+    """
     keys = scope_cols(scope)
-    years = dated(orders).select(*keys, F.col("year").cast("int").alias("year")).distinct()
-    all_groups = orders.select(*keys)
-    if groups is not None:
-        all_groups = all_groups.unionByName(groups.select(*keys))
-    if not keys:
-        fb = years.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
-        fb = fb.select(F.explode(F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")).alias("year"))
-        return years.unionByName(fb)
-    missing = key_join(all_groups.distinct(), years.select(*keys).distinct(), keys, "left_anti")
-    fb = missing.select(*keys, F.explode(F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")).alias("year"))
-    return years.unionByName(fb)
+    d = orders
+    if not has(d, "order_dt"):
+        d = d.withColumn("order_dt", parse_dmy(col_or_null(d, "order_date")))
+    year = F.year("order_dt")
+    g = d.groupBy(*keys).agg(F.collect_set(year).alias("_ys"))
+    if groups is not None and keys:
+        extra = key_join(groups.select(*keys).distinct(), g.select(*keys), keys, "left_anti")
+        g = g.unionByName(extra.withColumn("_ys", F.array().cast("array<int>")))
+    fallback = F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")
+    ys = F.when(F.size("_ys") > 0, F.col("_ys")).otherwise(fallback)
+    return g.select(*keys, F.explode(ys).alias("year"))

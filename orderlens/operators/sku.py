@@ -108,19 +108,23 @@ def sku_buckets(orders: DataFrame) -> DataFrame:
             .select("sku", brand_label("sku").alias("brand"), warehouse_label("sku").alias("warehouse")))
 
 
-def sku_detail(orders: DataFrame, requests: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
+def sku_detail(orders: DataFrame, requests: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
+               prefilter: bool = True) -> DataFrame:
     """Metrics of requested SKUs: ``requests`` has the scope columns and
     ``sku``.  A requested SKU with no lines gets a zero record.
 
-    Orders are first semi-joined to the requests, so only requested SKUs
-    are aggregated.
+    With ``prefilter`` (a short request list, the page use) the orders are
+    first semi-joined to the requests so only requested SKUs are
+    aggregated; for requests covering most SKUs, ``prefilter=False``
+    aggregates once and skips planning the requests twice.
     """
     keys = scope_cols(scope)
     jk = keys + ["sku"]
     sku = col_or_null(orders, "sku_description")
     base = drop_null_keys(orders, keys).withColumn("sku", sku).filter(F.col("sku").isNotNull())
     req = drop_null_keys(requests.select(*jk), jk).distinct()
-    base = key_join(base, req, jk, "left_semi")
+    if prefilter:
+        base = key_join(base, req, jk, "left_semi")
     g = base.groupBy(*jk).agg(
         F.count(F.lit(1)).alias("_rows"),
         sum0(col_or_null(orders, "order_price")).alias("_rev"),

@@ -201,7 +201,8 @@ def q_sku_detail(spark, sf):
     o = _orders(spark, sf)
     sold = o.select("seller_id", F.col("sku_description").alias("sku")).filter(F.col("sku").isNotNull())
     requests = sold.union(sold.select("seller_id", F.upper("sku").alias("sku"))).distinct()
-    return sku.sku_detail(o, requests)
+    # the requests cover every SKU sold, so filtering the orders first saves nothing
+    return sku.sku_detail(o, requests, prefilter=False)
 
 
 def q_sku_page_kpis(spark, sf):
