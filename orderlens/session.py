@@ -49,8 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     do we create one under the system temp folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or \
+        spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,0 +1,114 @@
+"""Random order lines (nulls, ties, mixed statuses) against a pandas
+brute-force of the same rules."""
+
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from orderlens.operators import kpis, months, sku
+
+STATUSES = ["delivered", "cancelled", "returned", "Returned", None]
+SKUS = ["A", "B", "C", "D", "E", "F", "G", None]
+REASONS = ["Size issue", "Damaged item", None]
+
+row = st.tuples(
+    st.integers(1, 3),                                   # seller
+    st.one_of(st.none(), st.integers(1, 50)),            # order_id
+    st.sampled_from(SKUS),
+    st.one_of(st.none(), st.integers(0, 500)),           # order_price (whole units)
+    st.sampled_from(STATUSES),
+    st.one_of(st.none(), st.integers(0, 40)),            # return_cost
+    st.sampled_from(REASONS),
+    st.sampled_from(["01-01-2025", "15-01-2025", "3-2-2025", "31-02-2025", None]),
+)
+
+SCHEMA = ("seller_id long, order_id long, sku_description string, order_price decimal(18,2), "
+          "order_status string, return_cost decimal(18,4), return_reason string, order_date string, "
+          "quantity long")
+
+
+def frames(spark, rows):
+    data = [(s, oid, k, None if p is None else Decimal(p), st_, None if c is None else Decimal(c), r, d, 1)
+            for s, oid, k, p, st_, c, r, d in rows]
+    df = spark.createDataFrame(data, SCHEMA)
+    pdf = pd.DataFrame(rows, columns=["seller_id", "order_id", "sku_description", "order_price", "order_status",
+                                      "return_cost", "return_reason", "order_date"])
+    pdf["order_price"] = pdf["order_price"].astype("float")
+    pdf["return_cost"] = pdf["return_cost"].astype("float")
+    return df, pdf
+
+
+def np_round(x, k):
+    return float(np.round(x, k))
+
+
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40))
+def test_kpis_match_pandas(spark, rows):
+    df, pdf = frames(spark, rows)
+    got = {r.seller_id: r for r in kpis.seller_kpis(df).collect()}
+    for s, g in pdf.groupby("seller_id"):
+        n = len(g)
+        ret = int((g.order_status == "returned").sum())
+        r = got[s]
+        assert r.total_orders == n and r.total_returns == ret
+        assert r.return_percent == np_round(ret / n * 100, 2)
+        assert r.net_sales == g.order_price.sum() and r.return_cost == g.return_cost.sum()
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40))
+def test_top_returned_skus_match_pandas(spark, rows):
+    df, pdf = frames(spark, rows)
+    got = {}
+    for r in kpis.top_returned_skus(df).collect():
+        got.setdefault(r.seller_id, []).append((r.rnk, r.sku_description, r.return_count))
+    want = {}
+    ret = pdf[(pdf.order_status == "returned") & pdf.sku_description.notna()]
+    for s, g in ret.groupby("seller_id"):
+        c = g.groupby("sku_description")["order_id"].count().reset_index()
+        c = c.sort_values(["order_id", "sku_description"], ascending=[False, True]).head(5)
+        want[s] = [(i + 1, k, int(v)) for i, (k, v) in enumerate(zip(c.sku_description, c.order_id))]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40))
+def test_sku_ranking_match_pandas(spark, rows):
+    df, pdf = frames(spark, rows)
+    got = {(r.seller_id, r.sku): r for r in sku.sku_ranking(df).collect()}
+    for s, g in pdf[pdf.sku_description.notna()].groupby("seller_id"):
+        st_ = g.groupby("sku_description").agg(orders=("order_id", "count"), revenue=("order_price", "sum"),
+                                              rc=("return_cost", "sum"))
+        ret = g[g.order_status == "returned"].groupby("sku_description").size()
+        st_["ret"] = st_.index.map(ret).fillna(0).astype(int)
+        top = st_.reset_index().sort_values(["revenue", "sku_description"], ascending=[False, True]).head(10)
+        assert {k for (sid, k) in got if sid == s} == set(top.sku_description)
+        for t in top.itertuples():
+            r = got[(s, t.sku_description)]
+            assert r.orders == t.orders and r.revenue == t.revenue and r.return_count == t.ret
+            if t.revenue != 0:
+                assert r.profit_margin == np_round((t.revenue - t.rc) / t.revenue * 100, 1)
+            else:
+                assert r.profit_margin is None
+            if t.orders:
+                assert r.return_rate == np_round(t.ret / t.orders * 100, 1)
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40))
+def test_month_kpis_match_pandas(spark, rows):
+    df, pdf = frames(spark, rows)
+    got = {(r.seller_id, r.year, r.month): r for r in months.month_kpis(df).collect()}
+    d = pd.to_datetime(pdf.order_date, format="%d-%m-%Y", errors="coerce")
+    ok = pdf[d.notna()].assign(y=d[d.notna()].dt.year, m=d[d.notna()].dt.month)
+    want = {}
+    for (s, y, m), g in ok.groupby(["seller_id", "y", "m"]):
+        want[(s, y, m)] = (len(g), g.order_price.sum(), int((g.order_status == "returned").sum()))
+    assert {k: (v.total_orders, v.total_revenue, v.returned_count) for k, v in got.items()} == want
