@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import guarded_percent, month_index, month_label, parse_dmy, ratio, rint_k, sum0
+from orderlens.functions import guarded_percent, month_index, month_label, parse_dmy, ratio, sum0
 from orderlens.operators._common import (
     DEFAULT_SCOPE, Scope, col_or_null, has, is_returned, key_join, money, scope_cols, status_is,
 )

@@ -20,7 +20,7 @@ SELLER = 4
 def spark():
     from pyspark.sql import SparkSession
 
-    from orderlens.session import ensure_checkpoint_dir, local_session
+    from orderlens.session import ensure_checkpoint_dir
 
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
@@ -30,7 +30,6 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
-    local_session  # noqa: B018  (same defaults module)
     yield s
 
 
