@@ -41,6 +41,36 @@ def absent_in_row(df: DataFrame, name: str) -> Column:
     return F.lit(False)
 
 
+# A pre-aggregated order table (see orderlens.plans.dashboard.rollup) keeps
+# one row per key with these line counts; counting then sums them.
+W_ROWS = "_w_rows"
+
+
+def _weight_of(name: str) -> str:
+    return f"_w_{name}"
+
+
+def n_rows(df: DataFrame) -> Column:
+    """Number of order lines."""
+    if has(df, W_ROWS):
+        return F.coalesce(F.sum(W_ROWS), F.lit(0)).cast("bigint")
+    return F.count(F.lit(1))
+
+
+def n_where(df: DataFrame, cond: Column) -> Column:
+    """Number of order lines meeting ``cond``."""
+    if has(df, W_ROWS):
+        return F.coalesce(F.sum(F.when(cond, F.col(W_ROWS))), F.lit(0)).cast("bigint")
+    return F.count_if(cond)
+
+
+def n_nonnull(df: DataFrame, name: str) -> Column:
+    """Number of order lines whose ``name`` is not NULL."""
+    if has(df, _weight_of(name)):
+        return F.coalesce(F.sum(_weight_of(name)), F.lit(0)).cast("bigint")
+    return F.count(col_or_null(df, name))
+
+
 def is_returned(df: DataFrame) -> Column:
     return F.coalesce(col_or_null(df, "order_status") == F.lit(STATUS_RETURNED), F.lit(False))
 

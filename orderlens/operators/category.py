@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderlens.functions import clip, ratio, rint_k, sum0
 from orderlens.operators._common import (
     ABSENT_COL, DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, has, is_returned, money,
-    scope_cols, top_k,
+    n_nonnull, n_where, scope_cols, top_k,
 )
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
 
@@ -91,7 +91,7 @@ def category_mapped(orders: DataFrame, dim: DataFrame | None = None,
     c = with_category(orders, dim)
     return (c.filter(F.col("_category").isNotNull())
             .groupBy(*keys, "catalogue_id", F.col("_category").alias("category"))
-            .agg(F.count(col_or_null(orders, "order_id")).alias("orders")))
+            .agg(n_nonnull(c, "order_id").alias("orders")))
 
 
 def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
@@ -108,8 +108,8 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     g = (c.filter(F.col("_category").isNotNull())
          .groupBy(*keys, F.col("_category").alias("name"))
          .agg(sum0(col_or_null(c, "order_price")).alias("_rev"),
-              F.count(col_or_null(c, "order_id")).alias("orders"),
-              F.count_if(is_returned(c)).alias("returns"),
+              n_nonnull(c, "order_id").alias("orders"),
+              n_where(c, is_returned(c)).alias("returns"),
               sum0(col_or_null(c, "return_cost")).alias("_rc")))
     rev = F.col("_rev").cast("double")
     g = g.select(

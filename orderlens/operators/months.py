@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import guarded_percent, month_index, month_label, parse_dmy, ratio, sum0
 from orderlens.operators._common import (
-    DEFAULT_SCOPE, Scope, col_or_null, has, is_returned, key_join, money, scope_cols, status_is,
+    DEFAULT_SCOPE, Scope, col_or_null, has, is_returned, key_join, money, n_rows, n_where, scope_cols,
+    status_is,
 )
 from orderlens.schema import FALLBACK_YEARS, STATUS_CANCELLED, STATUS_DELIVERED
 
@@ -55,12 +56,12 @@ def month_kpis(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     keys = scope_cols(scope)
     d = dated(orders, months)
     g = d.groupBy(*keys, "year", "month").agg(
-        F.count(F.lit(1)).alias("total_orders"),
+        n_rows(d).alias("total_orders"),
         sum0(col_or_null(d, "quantity")).alias("_qty"),
         sum0(col_or_null(d, "order_price")).alias("_rev"),
-        F.count_if(status_is(d, STATUS_DELIVERED)).alias("delivered_count"),
-        F.count_if(status_is(d, STATUS_CANCELLED)).alias("cancelled_count"),
-        F.count_if(is_returned(d)).alias("returned_count"),
+        n_where(d, status_is(d, STATUS_DELIVERED)).alias("delivered_count"),
+        n_where(d, status_is(d, STATUS_CANCELLED)).alias("cancelled_count"),
+        n_where(d, is_returned(d)).alias("returned_count"),
         sum0(col_or_null(d, "return_cost")).alias("_rc"),
     )
     return g.select(
@@ -94,7 +95,7 @@ def month_return_reasons(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     reason = col_or_null(d, "return_reason")
     return (d.filter(is_returned(d) & reason.isNotNull())
             .groupBy(*keys, "year", "month", reason.alias("return_reason"))
-            .agg(F.count(F.lit(1)).alias("cnt")))
+            .agg(n_rows(d).alias("cnt")))
 
 
 _MEASURES = ["total_orders", "total_quantity", "total_revenue", "avg_order_value",

@@ -11,6 +11,7 @@ from orderlens.functions import (
 from orderlens.functions.text import SKU_NAME_LEN, SKU_SHORT_LEN
 from orderlens.operators._common import (
     DEFAULT_SCOPE, Scope, absent_in_row, col_or_null, drop_null_keys, is_returned, key_join, money,
+    n_nonnull, n_rows, n_where,
     scope_cols, status_is, top_k,
 )
 from orderlens.operators.kpis import TOP_RETURNED_K
@@ -41,10 +42,10 @@ def sku_stats(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFra
     sku = col_or_null(orders, "sku_description")
     g = (orders.filter(sku.isNotNull())
          .groupBy(*keys, sku.alias("sku"))
-         .agg(F.count(col_or_null(orders, "order_id")).alias("orders"),
+         .agg(n_nonnull(orders, "order_id").alias("orders"),
               sum0(col_or_null(orders, "order_price")).alias("_rev"),
               sum0(col_or_null(orders, "return_cost")).alias("_rc"),
-              F.count_if(is_returned(orders)).alias("return_count"),
+              n_where(orders, is_returned(orders)).alias("return_count"),
               F.bool_and(absent_in_row(orders, "return_cost")).alias("_no_rc"),
               F.bool_and(absent_in_row(orders, "order_status")).alias("_no_status")))
     return _sku_rates(g)
@@ -61,12 +62,12 @@ def sku_stats_join(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> Da
     jk = keys + ["sku"]
     sku = col_or_null(orders, "sku_description")
     base = drop_null_keys(orders, keys).filter(sku.isNotNull()).withColumn("sku", sku)
-    stats = base.groupBy(*jk).agg(F.count(col_or_null(orders, "order_id")).alias("orders"),
+    stats = base.groupBy(*jk).agg(n_nonnull(orders, "order_id").alias("orders"),
                                   sum0(col_or_null(orders, "order_price")).alias("_rev"),
                                   F.bool_and(absent_in_row(orders, "return_cost")).alias("_no_rc"),
                                   F.bool_and(absent_in_row(orders, "order_status")).alias("_no_status"))
     rc = base.groupBy(*jk).agg(F.sum(col_or_null(orders, "return_cost")).alias("_rc_sum"))
-    ret = base.filter(is_returned(orders)).groupBy(*jk).agg(F.count(F.lit(1)).alias("_ret_n"))
+    ret = base.filter(is_returned(orders)).groupBy(*jk).agg(n_rows(orders).alias("_ret_n"))
     j = key_join(key_join(stats, rc, jk, "left"), ret, jk, "left")
     j = j.select(*jk, "orders", "_rev", "_no_rc", "_no_status",
                  F.coalesce(F.col("_rc_sum"), F.lit(0)).alias("_rc"),
@@ -126,9 +127,9 @@ def sku_detail(orders: DataFrame, requests: DataFrame, scope: Scope | None = DEF
     if prefilter:
         base = key_join(base, req, jk, "left_semi")
     g = base.groupBy(*jk).agg(
-        F.count(F.lit(1)).alias("_rows"),
+        n_rows(orders).alias("_rows"),
         sum0(col_or_null(orders, "order_price")).alias("_rev"),
-        F.count_if(is_returned(orders)).alias("_ret"),
+        n_where(orders, is_returned(orders)).alias("_ret"),
     )
     j = key_join(req, g, jk, "left")
     rows = F.coalesce(F.col("_rows"), F.lit(0)).cast("bigint")
@@ -148,9 +149,9 @@ def sku_detail_one(orders: DataFrame, sku: str, scope: Scope | None = ()) -> Dat
     keys = scope_cols(scope)
     s = col_or_null(orders, "sku_description")
     hit = orders.filter(s == F.lit(sku))
-    g = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_orders"),
+    g = hit.groupBy(*keys).agg(n_rows(orders).alias("total_orders"),
                                sum0(col_or_null(orders, "order_price")).alias("_rev"),
-                               F.count_if(is_returned(orders)).alias("returns"))
+                               n_where(orders, is_returned(orders)).alias("returns"))
     return g.select(*keys, F.lit(sku).alias("sku"),
                     ellipsis(F.lit(sku), SKU_NAME_LEN).alias("sku_label"),
                     "total_orders", money("_rev").alias("revenue"), "returns",
@@ -169,10 +170,10 @@ def sku_page_kpis(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> Dat
     price = col_or_null(orders, "order_price")
     returned = is_returned(orders)
     per_sku = orders.groupBy(*keys, sku.alias("sku")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(col_or_null(orders, "order_id")).alias("orders"),
-        F.count_if(returned).alias("return_count"),
-        F.count_if(status_is(orders, STATUS_DELIVERED)).alias("delivered"),
+        n_rows(orders).alias("rows"),
+        n_nonnull(orders, "order_id").alias("orders"),
+        n_where(orders, returned).alias("return_count"),
+        n_where(orders, status_is(orders, STATUS_DELIVERED)).alias("delivered"),
         sum0(price).alias("_rev"),
         sum0(col_or_null(orders, "return_cost")).alias("_rc"),
         sum0(F.when(returned, price)).alias("_refund"),
