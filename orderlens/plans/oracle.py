@@ -98,6 +98,20 @@ SELECT seller_id,
 FROM o GROUP BY seller_id
 """
 
+SQL["order_validation"] = f"""
+SELECT seller_id,
+  COUNT(*) AS lines,
+  COUNT(*) FILTER (WHERE order_date IS NOT NULL AND order_dt IS NULL) AS bad_dates,
+  COUNT(*) FILTER (WHERE order_id IS NULL) AS missing_order_ids,
+  COUNT(*) FILTER (WHERE order_price IS NULL) AS missing_prices,
+  COUNT(*) FILTER (WHERE order_status IS NOT NULL
+                     AND order_status NOT IN ('delivered', 'cancelled', 'returned')) AS unknown_statuses,
+  COUNT(*) FILTER (WHERE order_price IS NOT NULL AND item_price IS NOT NULL AND quantity IS NOT NULL
+                     AND order_price <> item_price * quantity) AS price_mismatches,
+  '' AS absent_columns
+FROM o GROUP BY seller_id
+"""
+
 SQL["daily_sales"] = f"""
 SELECT seller_id, order_date,
   {PARSE("order_date")} AS order_dt,

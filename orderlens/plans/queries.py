@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.dates import DISPLAY_TIMESTAMP
 from orderlens.operators import catalog, category, kpis, months, sku
+from orderlens.operators.quality import validate_orders
 from orderlens.schema import DEFAULT_PROFILE_ICON, ORDER_COLUMNS
 from orderlens.sources.csv_orders import union_orders
 from orderlens.sources.testdata import (
@@ -115,6 +116,12 @@ def q_kpi_missing_cols(spark, sf):
     return kpis.seller_kpis(_orders(spark, sf).drop("order_status", "return_cost"))
 
 
+def q_order_validation(spark, sf):
+    """Data-quality report per seller (dates, ids, prices, statuses,
+    price = item price x quantity, absent columns)."""
+    return validate_orders(_orders(spark, sf))
+
+
 def q_kpi_json(spark, sf):
     return kpis.kpi_json(_orders(spark, sf))
 
@@ -384,6 +391,7 @@ QUERIES: dict[str, Query] = {
     "orders_csv_kpis": q_orders_csv_kpis,
     "stream_ingest_kpis": q_stream_ingest_kpis,
     "kpi_missing_cols": q_kpi_missing_cols,
+    "order_validation": q_order_validation,
     "kpi_json": q_kpi_json,
     "daily_sales": q_daily_sales,
     "return_reasons": q_return_reasons,

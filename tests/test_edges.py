@@ -185,3 +185,19 @@ def test_daily_sum_equals_sales(sample_orders):
 def test_scopes_run(sample_orders, scope):
     assert category.category_scorecard(sample_orders, scope).count() > 0
     assert kpis.kpi_json(sample_orders, scope).count() >= 1
+
+
+def test_validation_report(spark, tmp_dir):
+    from orderlens.operators.quality import validate_orders
+    p1 = write_csv(tmp_dir, "1_a_2025.csv", HEADER +
+                   ",01-01-2025,1,A,10,2,20,delivered,,0,\n"
+                   "2,2025-01-01,1,A,10,2,25,shipped,,0,\n"
+                   "3,02-01-2025,1,A,10,2,,returned,customer,1,Size issue\n")
+    p2 = write_csv(tmp_dir, "1_b_2025.csv", "order_id,order_date,order_price\n4,03-01-2025,5\n")
+    o = read_orders_csv(spark, [p1, p2])
+    r = validate_orders(o, ()).first()
+    assert (r.lines, r.bad_dates, r.missing_order_ids, r.missing_prices, r.unknown_statuses, r.price_mismatches) \
+        == (4, 1, 1, 1, 1, 1)
+    assert r.absent_columns.split(",") == sorted({"catalogue_id", "sku_description", "item_price", "quantity",
+                                                   "order_status", "return_type", "return_cost", "return_reason",
+                                                   "category"})
