@@ -34,7 +34,7 @@ UPLOAD_FOLDER = "uploads"
 
 
 # Hash key used to spread a table whose scan has too few splits.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "events": "event_id"}
+SPREAD_KEYS = {"lineitem": "l_partkey", "events": "event_id"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
