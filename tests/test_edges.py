@@ -201,3 +201,15 @@ def test_validation_report(spark, tmp_dir):
     assert r.absent_columns.split(",") == sorted({"catalogue_id", "sku_description", "item_price", "quantity",
                                                    "order_status", "return_type", "return_cost", "return_reason",
                                                    "category"})
+
+
+def test_same_file_twice_counted_once(spark, tmp_dir):
+    from datetime import datetime
+
+    from orderlens.schema import UPLOAD_SCHEMA
+    p = write_csv(tmp_dir, "1_a_2025.csv", HEADER + "1,01-01-2025,1,A,10,1,10,delivered,,0,\n")
+    up = spark.createDataFrame([(1, 1, "1_a_2025.csv", "a.csv", p, datetime(2025, 1, 1), 1),
+                                (2, 1, "1_a_2025.csv", "a.csv", p, datetime(2025, 1, 2), 1)], UPLOAD_SCHEMA)
+    o = read_orders_csv(spark, [p, p], uploads=up)
+    rows = o.collect()
+    assert len(rows) == 1 and rows[0].upload_id == 2   # newest registration of the path
