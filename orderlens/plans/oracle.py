@@ -342,6 +342,8 @@ MONTH_KPIS = f"""mk AS (
   FROM d GROUP BY seller_id, year, month)"""
 
 SQL["month_kpis"] = f"WITH {DATED}, {MONTH_KPIS} SELECT * FROM mk"
+# the order table stored month-partitioned and read back gives the same
+SQL["orders_sink_month_kpis"] = SQL["month_kpis"]
 
 SQL["month_return_reasons"] = f"""WITH {DATED}
 SELECT seller_id, year, month, return_reason, COUNT(*) AS cnt

@@ -20,6 +20,7 @@ from orderlens.operators import catalog, category, kpis, months, sku
 from orderlens.operators.quality import validate_orders
 from orderlens.schema import DEFAULT_PROFILE_ICON, ORDER_COLUMNS
 from orderlens.sources.csv_orders import union_orders
+from orderlens.sources.files import export_csv, write_orders
 from orderlens.sources.testdata import (
     CATALOG_CUTOFF, orders_from_tpch, sellers_from_supplier, uploads_from_events,
 )
@@ -75,10 +76,7 @@ def export_orders_csv(spark, sf) -> str:
     root = checkpoint_path(spark, f"order-files-{uuid.uuid4().hex}")
     even = F.pmod(F.col("seller_id"), F.lit(2)) == 0
     for sub, cond, order in (("a", even, cols), ("b", ~even, list(reversed(cols)))):
-        # one file per seller (bounded in size), not one per seller and task
-        (o.filter(cond).select("seller_id", *order).repartition("seller_id")
-         .write.partitionBy("seller_id").option("header", True)
-         .option("maxRecordsPerFile", 1_000_000).csv(f"{root}/{sub}"))
+        export_csv(o.filter(cond), f"{root}/{sub}", columns=order, partition_by="seller_id")
     return root
 
 
@@ -105,6 +103,17 @@ def q_stream_ingest_kpis(spark, sf):
     return kpis.seller_kpis(spark.read.parquet(f"{out}/orders"))
 
 
+def q_orders_sink_month_kpis(spark, sf):
+    """Month KPIs of the order table after storing it in the month-
+    partitioned layout and reading it back."""
+    import uuid
+
+    from orderlens.session import checkpoint_path
+    path = checkpoint_path(spark, f"order-table-{uuid.uuid4().hex}")
+    write_orders(_orders(spark, sf), path, mode="overwrite")
+    return months.month_kpis(spark.read.parquet(path))
+
+
 # --- dashboard KPIs ----------------------------------------------------------
 
 def q_seller_kpis(spark, sf):
@@ -390,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "seller_kpis": q_seller_kpis,
     "orders_csv_kpis": q_orders_csv_kpis,
     "stream_ingest_kpis": q_stream_ingest_kpis,
+    "orders_sink_month_kpis": q_orders_sink_month_kpis,
     "kpi_missing_cols": q_kpi_missing_cols,
     "order_validation": q_order_validation,
     "kpi_json": q_kpi_json,

@@ -192,3 +192,11 @@ def test_insights_and_actions(sample_orders):
     rec = category.category_recommendations(sc, SCOPE).filter("rule = 'expand_top_category'").collect()
     assert len(rec) == 3 and all(r.message.endswith("is your top performer - consider expanding this category.")
                                  for r in rec)
+
+
+def test_daily_order_text_vs_chronological(sample_orders):
+    text = [r.order_date for r in kpis.daily_sales(sample_orders, ["upload_id"], ordered=True).collect()]
+    chron = [r.order_date for r in kpis.daily_sales(sample_orders, ["upload_id"], chronological=True).collect()]
+    assert sorted(text) == sorted(chron)
+    dates = [r.order_dt for r in kpis.daily_sales(sample_orders, (), chronological=True).collect()]
+    assert dates == sorted(dates)
