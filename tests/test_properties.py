@@ -112,3 +112,35 @@ def test_month_kpis_match_pandas(spark, rows):
     for (s, y, m), g in ok.groupby(["seller_id", "y", "m"]):
         want[(s, y, m)] = (len(g), g.order_price.sum(), int((g.order_status == "returned").sum()))
     assert {k: (v.total_orders, v.total_revenue, v.returned_count) for k, v in got.items()} == want
+
+
+CATS = ["Shirts", "Bags", "Toys", None]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(row, st.sampled_from(CATS)), min_size=1, max_size=40))
+def test_scorecard_matches_pandas(spark, rows_cats):
+    from orderlens.operators import category
+    rows = [r for r, _ in rows_cats]
+    base, pdf = frames(spark, rows)
+    df = spark.createDataFrame([tuple(r) + (c,) for r, (_, c) in zip(base.collect(), rows_cats)],
+                               SCHEMA + ", category string")
+    pdf["category"] = [c for _, c in rows_cats]
+    got = {(r.seller_id, r.name): r for r in category.category_scorecard(df).collect()}
+    want = {}
+    for s, g in pdf[pdf.category.notna()].groupby("seller_id"):
+        cs = g.groupby("category").agg(revenue=("order_price", "sum"), orders=("order_id", "count"),
+                                       rc=("return_cost", "sum"),
+                                       returns=("order_status", lambda x: (x == "returned").sum()))
+        mx = cs.revenue.max()
+        for name, c in cs.iterrows():
+            margin = (c.revenue - c.rc) / c.revenue * 100 if c.revenue > 0 else 0.0
+            rr = np_round(c.returns / c.orders * 100, 2) if c.orders else None
+            score = None
+            if rr is not None and mx > 0:
+                score = np_round(c.revenue / mx * 30 + (100 - rr) * 0.4 + min(max(margin, 0), 50) / 50 * 30, 0)
+            want[(s, name)] = (c.revenue, int(c.orders), int(c.returns), rr, score)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        r = got[k]
+        assert (r.revenue, r.orders, r.returns, r.return_rate, r.performance_score) == w
