@@ -92,15 +92,16 @@ def q_orders_csv_kpis(spark, sf):
 
 def q_stream_ingest_kpis(spark, sf):
     """Seller KPIs of the same order files picked up by the streaming
-    folder ingest (each file once, catalog row per file)."""
+    folder ingest (each file once, catalog row per file), computed from the
+    dashboard roll-up the ingest maintains next to the order table."""
     from orderlens.session import checkpoint_path
     from orderlens.streaming import ingest_folder
     root = export_orders_csv(spark, sf)
     out = checkpoint_path(spark, f"ingest-{os.path.basename(root)}")
     q = ingest_folder(spark, root, f"{out}/orders", f"{out}/catalog", checkpoint=f"{out}/ckpt",
-                      pattern="*.csv", recursive=True)
+                      pattern="*.csv", recursive=True, rollup_path=f"{out}/rollup")
     q.awaitTermination()
-    return kpis.seller_kpis(spark.read.parquet(f"{out}/orders"))
+    return kpis.seller_kpis(spark.read.parquet(f"{out}/rollup"))
 
 
 def q_orders_sink_month_kpis(spark, sf):
