@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators import category, kpis, sku
-from orderlens.operators._common import ABSENT_COL, DEFAULT_SCOPE, W_ROWS, Scope, col_or_null, scope_cols
+from orderlens.operators._common import ABSENT_COL, DEFAULT_SCOPE, W_ROWS, Scope, n_nonnull, n_rows, scope_cols
 from orderlens.session import checkpoint_path
 
 # Grouping columns of the roll-up (those any dashboard result groups or
@@ -38,13 +38,20 @@ def rollup(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
     reduced on every map task."""
     keys = scope_cols(scope)
     group = keys + [c for c in ROLLUP_KEYS if c in orders.columns and c not in keys]
-    aggs = [F.count(F.lit(1)).alias(W_ROWS),
-            F.count(col_or_null(orders, "order_id")).alias("_w_order_id"),
-            F.count(col_or_null(orders, "order_price")).alias("_w_order_price")]
+    # weight-aware counts: rolling up a roll-up (e.g. the union of the
+    # ingest's per-batch roll-ups) compacts it
+    aggs = [n_rows(orders).alias(W_ROWS),
+            n_nonnull(orders, "order_id").alias("_w_order_id"),
+            n_nonnull(orders, "order_price").alias("_w_order_price")]
     aggs += [F.sum(c).alias(c) for c in ROLLUP_SUMS if c in orders.columns]
     return orders.groupBy(*group).agg(*aggs)
 
 
+def compact(spark, rollup_path: str, out_path: str, scope: Scope | None = ("seller_id", "upload_id")) -> None:
+    """Merge the per-batch roll-ups under ``rollup_path`` into one roll-up."""
+    rollup(spark.read.parquet(rollup_path).drop("batch"), scope).write.mode("overwrite").parquet(out_path)
+
+
 def materialize(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE, name: str = "dashboard") -> DataFrame:
     """Write the roll-up to the shared checkpoint folder and read it back."""
     path = checkpoint_path(orders.sparkSession, f"{name}-{uuid.uuid4().hex}")

@@ -61,6 +61,11 @@ def test_ingest_maintains_dashboard_rollup(spark, tmp_dir):
         b = sorted(kpis.seller_kpis(lines, scope).collect())
         assert a == b
         assert sorted(sku.sku_ranking(rolled, scope).collect()) == sorted(sku.sku_ranking(lines, scope).collect())
+    from orderlens.plans.dashboard import compact
+    compact(spark, out["rollup"], os.path.join(tmp_dir, "compacted"))
+    merged = spark.read.parquet(os.path.join(tmp_dir, "compacted"))
+    assert merged.count() <= rolled.count()
+    assert sorted(kpis.seller_kpis(merged).collect()) == sorted(kpis.seller_kpis(lines).collect())
     one = dashboard(rolled, ["seller_id"], materialized=False)
     two = dashboard(lines, ["seller_id"], materialized=False)
     for name in one:
