@@ -62,10 +62,10 @@ def test_parse_dmy_value(spark):
 
 
 @pytest.mark.parametrize("name,hit", [
-    ("4_sample_ecommerce_orders.csv", False),
-    ("4_sample_ecommerce_orders_v2.csv", False),
-    ("4_sample_ecommerce_orders_march_2025.csv", True),
-    ("5_sample_ecommerce_orders.csv", False),
+    ("4_orders.csv", False),
+    ("4_orders_v2.csv", False),
+    ("4_orders_march_2025.csv", True),
+    ("5_orders.csv", False),
     ("7_orders_2025.csv", True),
     (".hidden_2025.csv", False),
     ("a_1.CSV", False),

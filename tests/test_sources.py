@@ -13,16 +13,16 @@ from orderlens.sources import export_csv, list_files, read_orders_csv, write_ord
 def test_list_files_glob_and_discovery(spark, tmp_dir, uploads):
     folder = os.path.join(tmp_dir, "up")
     os.makedirs(folder)
-    for name in ["4_sample_ecommerce_orders.csv", "4_sample_ecommerce_orders_march_2025.csv", "9_new_2025.csv",
+    for name in ["4_orders.csv", "4_orders_march_2025.csv", "9_new_2025.csv",
                  "readme.txt"]:
         shutil.copy(FILES[1], os.path.join(folder, name))
     lst = list_files(spark, folder, pattern="*_[0-9]*.csv")
-    assert sorted(r.filename for r in lst.collect()) == ["4_sample_ecommerce_orders_march_2025.csv",
+    assert sorted(r.filename for r in lst.collect()) == ["4_orders_march_2025.csv",
                                                          "9_new_2025.csv"]
     every = list_files(spark, folder)
     assert every.count() == 4
     found = catalog.discover_uploads(every, uploads)
-    assert sorted(r.filename for r in found.collect()) == ["4_sample_ecommerce_orders_march_2025.csv",
+    assert sorted(r.filename for r in found.collect()) == ["4_orders_march_2025.csv",
                                                            "9_new_2025.csv"]
 
 
