@@ -84,3 +84,11 @@ def dashboard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
         "sku_ranking": sku.sku_ranking(base, keys),
         "sku_page_kpis": sku.sku_page_kpis(base, keys),
     }
+
+
+def dashboard_json(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
+    """The per-group result document (KPIs, reason map, top returned
+    catalogues and SKUs) built from one roll-up of the orders instead of
+    one scan of the order lines per part."""
+    keys = scope_cols(scope)
+    return kpis.kpi_json(materialize(orders, keys, name="dashboard-json"), keys)

@@ -32,3 +32,14 @@ def test_rollup_with_nulls_equals_lines(spark, tmp_dir):
     multi = dashboard(o, ["seller_id"], materialized=False)
     for name in one:
         assert sorted(one[name].collect()) == sorted(multi[name].select(*one[name].columns).collect()), name
+
+
+def test_dashboard_json_equals_line_level(sample_orders):
+    import json
+
+    from orderlens.operators import kpis
+    from orderlens.plans.dashboard import dashboard_json
+    a = {r.seller_id: json.loads(r.json) for r in dashboard_json(sample_orders, ["seller_id"]).collect()}
+    b = {r.seller_id: json.loads(r.json) for r in kpis.kpi_json(sample_orders, ["seller_id"]).collect()}
+    assert a == b
+    assert a[4]["total_orders"] == 125 and len(a[4]["top_skus"]) == 5
