@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import clip, ratio, rint_k, sum0
@@ -13,6 +13,8 @@ from orderlens.operators._common import (
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
 
 TOP_CATEGORIES_K = 5
+# Scope groups (one small row each) up to which a per-group table is broadcast.
+MAX_BROADCAST_GROUPS = 1_000_000
 
 # --- fixed values -----------------------------------------------------------
 # Rule thresholds.
@@ -99,9 +101,8 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     """Per category: revenue, orders, returns, return_cost, profit_margin,
     return_rate, avg_order_value and performance_score.
 
-    ``performance_score`` normalises revenue by the scope's best category,
-    a window max over the aggregated rows (one per category, never raw
-    order lines).
+    ``performance_score`` normalises revenue by the scope's best category
+    (see :func:`_with_scope_max`).
     """
     keys = scope_cols(scope)
     c = with_category(orders, dim)
@@ -122,9 +123,7 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
         rint_k(ratio("returns", "orders") * F.lit(100.0), 2).alias("return_rate"),
         rint_k(ratio("_rev", "orders"), 2).alias("avg_order_value"),
     )
-    # Max over the scope's already-aggregated category rows (one row per
-    # category), so the order scan and its aggregate run once.
-    g = g.withColumn("_max_rev", F.max("revenue").over(Window.partitionBy(*keys)))
+    g = _with_scope_max(g, keys, "revenue", "_max_rev")
     score = (ratio("revenue", "_max_rev") * F.lit(SCORE_REVENUE_WEIGHT)
              + (F.lit(100.0) - F.col("return_rate")) * F.lit(SCORE_RETURN_WEIGHT)
              + clip(F.col("profit_margin"), 0.0, SCORE_MARGIN_CAP) / F.lit(SCORE_MARGIN_CAP)
@@ -132,6 +131,29 @@ def category_scorecard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     return g.withColumn("performance_score", rint_k(score, 0)).drop("_max_rev")
 
 
+def _with_scope_max(g: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """Add the scope group's maximum of ``col`` to every row of ``g`` (one
+    row per category).
+
+    A group can hold very many categories (every unmapped catalogue id is
+    its own), so the maximum is an aggregate (partial per task, no group
+    in one task) joined back on the scope key, not a window.  ``g`` is
+    checkpointed to the shared checkpoint folder first, so the order lines
+    are scanned once for both uses and the lineage is cut.
+    """
+    if not keys:
+        mx = g.agg(F.max(col)).first()[0]  # one number
+        return g.withColumn(out, F.lit(mx).cast("double"))
+    g = g.checkpoint(eager=True)
+    mx = g.groupBy(*keys).agg(F.max(col).alias(out))
+    # one row per scope group: broadcast when the counted size is bounded
+    # (the category rows then keep their partitioning and are not moved);
+    # beyond that the join shuffles and AQE splits a skewed group
+    if mx.count() <= MAX_BROADCAST_GROUPS:
+        mx = F.broadcast(mx)
+    return g.join(mx, keys, "inner")
+
+
 def top_categories(scorecard: DataFrame, by: str = "revenue", scope: Scope | None = DEFAULT_SCOPE,
                    k: int = TOP_CATEGORIES_K) -> DataFrame:
     """Top ``k`` categories by ``by`` (revenue or orders), ties by name."""
