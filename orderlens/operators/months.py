@@ -40,6 +40,9 @@ def _month_filter(months: Sequence[Month]) -> Column:
 def dated(orders: DataFrame, months: Sequence[Month] | None = None) -> DataFrame:
     d = with_order_dt(orders)
     if months:
+        if has(d, "order_month"):
+            # the stored order table is partitioned by this text: prune folders
+            d = d.filter(F.col("order_month").isin([f"{y:04d}-{m:02d}" for y, m in months]))
         d = d.filter(_month_filter(months))
     return d.withColumns({
         "year": F.year("order_dt"),

@@ -52,3 +52,17 @@ def test_export_csv_roundtrip(spark, tmp_dir, sample_orders):
     back = read_orders_csv(spark, files)
     assert back.count() == 25
     assert kpis.seller_kpis(back, ()).first().net_sales == 74275.0
+
+
+def test_month_comparison_prunes_month_folders(spark, tmp_dir, sample_orders):
+    from orderlens.operators import months
+    out = os.path.join(tmp_dir, "orders")
+    write_orders(sample_orders.drop("_absent"), out, mode="overwrite")
+    table = spark.read.parquet(out)
+    c = months.month_comparison(table, (2025, 1), (2025, 2), ["seller_id"])
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    import re
+    parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert any("order_month" in p and "2025-01" in p and "2025-03" not in p for p in parts), parts
+    r = c.first()
+    assert (r.total_orders1, r.total_orders2, r.revenue_change) == (80, 20, -136652.0)
