@@ -1,0 +1,56 @@
+"""Invariants between results on the supplied sf0.001 tables."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderlens.operators import category, kpis, months
+from orderlens.sources.testdata import orders_from_tpch
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+
+
+@pytest.fixture(scope="module")
+def orders(spark):
+    return orders_from_tpch(spark, SF)
+
+
+def test_daily_amounts_sum_to_sales(orders):
+    d = kpis.daily_sales(orders).groupBy("seller_id").agg(F.sum("total_amount").alias("s"))
+    k = kpis.seller_kpis(orders)
+    bad = d.join(k, "seller_id").filter(F.abs(F.col("s") - F.col("net_sales")) > 1e-6)
+    assert bad.count() == 0
+
+
+def test_category_orders_sum_to_ids_with_category(orders):
+    sc = category.category_scorecard(orders).groupBy("seller_id").agg(F.sum("orders").alias("n"))
+    ids = (orders.filter(F.col("order_id").isNotNull() & F.col("category").isNotNull())
+           .groupBy("seller_id").count())
+    assert sc.join(ids, "seller_id").filter(F.col("n") != F.col("count")).count() == 0
+
+
+def test_status_counts_within_rows(orders):
+    m = months.month_kpis(orders)
+    over = m.filter(F.col("delivered_count") + F.col("cancelled_count") + F.col("returned_count")
+                    > F.col("total_orders"))
+    assert over.count() == 0
+
+
+def test_daily_revenue_sums_to_month(orders):
+    d = (months.month_daily_revenue(orders).groupBy("seller_id", "year", "month")
+         .agg(F.sum("revenue").alias("s")))
+    m = months.month_kpis(orders)
+    bad = d.join(m, ["seller_id", "year", "month"]).filter(F.abs(F.col("s") - F.col("total_revenue")) > 1e-6)
+    assert bad.count() == 0
+    assert d.count() == m.count()
+
+
+def test_seller_scope_equals_rolled_up_upload_scope(orders):
+    from orderlens.plans.dashboard import rollup
+    per_upload = rollup(orders.withColumn("upload_id", F.year("order_dt").cast("long")),
+                        ["seller_id", "upload_id"])
+    a = sorted(kpis.seller_kpis(per_upload).collect())
+    b = sorted(kpis.seller_kpis(orders).collect())
+    assert a == b
