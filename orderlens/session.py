@@ -20,6 +20,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of unreferenced DataFrames are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
