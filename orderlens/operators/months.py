@@ -143,10 +143,18 @@ def month_comparison(orders: DataFrame, month1: Month, month2: Month,
                      scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
     """Compare two calendar months for every scope group that has data in
     at least one of them; a month without rows is a zero record with
-    ``has_data=false``.  Only the two months are scanned."""
+    ``has_data=false``.  Only the two months are scanned.  A month or year
+    that is missing or 0 gives an empty result; the same month twice is
+    rejected."""
+    keys = scope_cols(scope)
+    given = all(month1 or ()) and all(month2 or ()) and len(month1 or ()) == 2 and len(month2 or ()) == 2
+    if not given:
+        # a month or year missing (or 0): nothing to compare, empty result
+        return month_comparison(orders.filter(F.lit(False)), (1, 1), (1, 2), keys)
+    if any(not 1 <= m <= 12 for _, m in (month1, month2)):
+        raise ValueError("months are 1..12")
     if tuple(month1) == tuple(month2):
         raise ValueError("cannot compare a month with itself")
-    keys = scope_cols(scope)
     k = month_kpis(orders, keys, months=[month1, month2])
     ym1 = month1[0] * 12 + month1[1] - 1
     ym2 = month2[0] * 12 + month2[1] - 1

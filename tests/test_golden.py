@@ -142,6 +142,11 @@ def test_month_comparison_one_month_empty(sample_orders):
     assert months.month_comparison(sample_orders, (2023, 1), (2023, 2), ["seller_id"]).count() == 0
     with pytest.raises(ValueError):
         months.month_comparison(sample_orders, (2025, 1), (2025, 1))
+    with pytest.raises(ValueError):
+        months.month_comparison(sample_orders, (2025, 13), (2025, 1))
+    empty = months.month_comparison(sample_orders, (2025, 0), (2025, 2), ["seller_id"])
+    assert empty.count() == 0 and "revenue_change" in empty.columns
+    assert months.month_comparison(sample_orders, None, (2025, 2)).count() == 0
 
 
 def test_available_years(sample_orders):
