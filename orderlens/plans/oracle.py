@@ -82,6 +82,17 @@ SELECT seller_id,
 FROM o GROUP BY seller_id
 """
 
+SQL["upload_kpis"] = f"""
+SELECT seller_id, CAST(year(order_dt) AS BIGINT) AS upload_id,
+  COUNT(*) AS total_orders,
+  COUNT(*) FILTER (WHERE {RET}) AS total_returns,
+  {GPCT(f"COUNT(*) FILTER (WHERE {RET})", "COUNT(*)")} AS return_percent,
+  {MONEY.format(c="order_price")} AS net_sales,
+  {MONEY.format(c="return_cost")} AS return_cost,
+  CAST(COALESCE(SUM(order_price), 0) - COALESCE(SUM(return_cost), 0) AS DOUBLE) AS net_profit
+FROM o GROUP BY seller_id, CAST(year(order_dt) AS BIGINT)
+"""
+
 # Order files written from the same rows and read back (batch CSV reader /
 # streaming folder ingest) give exactly the seller KPIs.
 SQL["orders_csv_kpis"] = SQL["seller_kpis"]

@@ -121,6 +121,13 @@ def q_seller_kpis(spark, sf):
     return kpis.seller_kpis(_orders(spark, sf))
 
 
+def q_upload_kpis(spark, sf):
+    """KPIs per file, the original's unit: scope (seller_id, upload_id), the
+    test orders taken as one upload per seller and calendar year."""
+    o = _orders(spark, sf).withColumn("upload_id", F.year("order_dt").cast("bigint"))
+    return kpis.seller_kpis(o, ["seller_id", "upload_id"])
+
+
 def q_kpi_missing_cols(spark, sf):
     """KPIs of files without ``order_status`` and ``return_cost`` columns."""
     return kpis.seller_kpis(_orders(spark, sf).drop("order_status", "return_cost"))
@@ -403,6 +410,7 @@ QUERIES: dict[str, Query] = {
     "orders_csv_kpis": q_orders_csv_kpis,
     "stream_ingest_kpis": q_stream_ingest_kpis,
     "orders_sink_month_kpis": q_orders_sink_month_kpis,
+    "upload_kpis": q_upload_kpis,
     "kpi_missing_cols": q_kpi_missing_cols,
     "order_validation": q_order_validation,
     "kpi_json": q_kpi_json,
