@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, chat
+from orderlens.llm import ann, bpe, chat, decontam
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of benchmark items in all whole documents."""
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with the 49k word BPE vocabulary."""
     return bpe.bpe(spark, table(spark, sf_dir, "documents"), with_text=False)
@@ -23,6 +33,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_ann": op6_ann,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op10_chat": op10_chat,
 }
