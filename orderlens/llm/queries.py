@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import ann, bpe, chat, decontam
+from orderlens.llm import ann, bpe, chat, decontam, toxicity
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from the training folds."""
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every row whose id is divisible by 20."""
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
@@ -33,6 +38,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op6_ann": op6_ann,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
