@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import ann, bpe, chat, decontam, toxicity
+from orderlens.llm import ann, bpe, chat, decontam, pii, secret_scan, toxicity
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every whole document."""
+    return pii.digests(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of all whole documents, after the forest."""
+    return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every row whose id is divisible by 20."""
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
@@ -39,6 +49,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op6_ann": op6_ann,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
