@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import ann, bpe, chat, decontam, pii, secret_scan, toxicity
+from orderlens.llm import ann, bpe, chat, decontam, pii, quality, secret_scan, toxicity
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(spark, table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws from the whole table."""
+    return quality.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     return chat.chat_digests(spark, table(spark, sf_dir, "conversations"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op6_ann": op6_ann,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
 
