@@ -218,19 +218,23 @@ def _search(index: Index, ids: list, docs: list[str]):
     return rows
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All places of benchmark items in all texts: (doc_id, item_id, start,
-    end, edits, identity), offsets in code points of the original text."""
+def _blocks(spark: SparkSession, benchmark: DataFrame):
+    """Broadcast blocks of folded items, each of a bounded number of characters."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) <> ''")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-int(chars) // BLOCK_CHARS) or 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         content = tuple(sorted(((r.item_id, f) for r in block.toLocalIterator() if (f := fold(r.text))), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        shared = spark.sparkContext.broadcast(content)
+        yield spark.sparkContext.broadcast(content)
+
 
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All places of benchmark items in all texts: (doc_id, item_id, start,
+    end, edits, identity), offsets in code points of the original text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for shared in _blocks(spark, benchmark):
         def run(batches, shared=shared):
             index = _index(shared.value)
             for b in batches:
@@ -239,3 +243,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
         part = rows.mapInArrow(run, _DDL)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that hold a benchmark item."""
+    for shared in _blocks(spark, benchmark):
+        @F.pandas_udf("boolean")
+        def holds(column, shared=shared):
+            found = {r[0] for r in _search(_index(shared.value), list(range(len(column))), [t or "" for t in column])}
+            return column.index.to_series().reset_index(drop=True).isin(found)
+        docs = docs.filter(~holds(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs

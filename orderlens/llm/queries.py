@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import ann, bpe, chat, decontam, jaccard_join, pii, quality, secret_scan, toxicity
+from orderlens.llm import ann, bpe, chat, decontam, jaccard_join, lm, pii, quality, secret_scan, toxicity
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole document by the self-attention model."""
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by five-word shingles, all pairs settled."""
     return jaccard_join.join(spark, table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op4_lm": op4_lm,
     "op5_jaccard": op5_jaccard,
     "op6_ann": op6_ann,
     "op7_decontamination": op7_decontamination,
