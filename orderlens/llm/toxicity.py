@@ -12,10 +12,10 @@ quotation marks or after a reporting verb count for less than hits that
 address someone.  A logistic model over the windows' scores, their density
 and the number of distinct terms gives the score.
 
-Only labelled rows of the training folds are learned from; the lexicon learns
-from one half of them and the logistic model from the other.  Both fit on at
-most SAMPLE texts of each class (those with the smallest hash of their id);
-scoring covers every text whole.
+Only labelled rows of the training folds are learned from.  The logistic model
+learns from features that the lexicon of the other half of them gives.  Both
+fit on at most SAMPLE texts of each class (those with the smallest hash of
+their id); scoring covers every text whole.
 
 Cases: null or empty text has no hits and gets the score of a text without
 hits; null ids and null labels are not learned from, and a null id is scored
@@ -277,6 +277,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _lexicon_of(sample: DataFrame, t: int, c: int) -> Lexicon:
+    """The lexicon of a sample with t toxic and c clean texts."""
+    odds = F.log((F.col("toxic_n") + 0.5) / (t + 1.0)) - F.log((F.col("clean_n") + 0.5) / (c + 1.0))
+    counted = _terms(sample).withColumn("odds", odds).checkpoint()
+    least = max(2, math.ceil(LEAST_SHARE * t))
+    terms = counted.filter((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "prefix").limit(TERMS).collect()
+    known = counted.filter("not prefix and clean > 0").orderBy(F.desc("clean"), "term").limit(KNOWN).collect()
+    return Lexicon({r["term"]: r["odds"] for r in terms if not r["prefix"]}, {r["term"]: r["odds"] for r in terms if r["prefix"]}, frozenset(r["term"] for r in known))
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, trains) -> Model:
     """Fit on the labelled rows for which the condition ``trains`` holds."""
     ensure_checkpoint_dir(spark)
@@ -285,19 +295,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, trains) -> Mo
     none = Model({}, {}, frozenset(), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     prior = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
     none.weights[-1] = prior
-    t, c = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
-    if not t or not c:
+    if any(not sizes.get((half, toxic)) for half in (0, 1) for toxic in (0, 1)):
         return none
-    odds = F.log((F.col("toxic_n") + 0.5) / (t + 1.0)) - F.log((F.col("clean_n") + 0.5) / (c + 1.0))
-    counted = _terms(sample.filter("half = 0")).withColumn("odds", odds).checkpoint()
-    least = max(2, math.ceil(LEAST_SHARE * t))
-    terms = counted.filter((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "prefix").limit(TERMS).collect()
-    known = counted.filter("not prefix and clean > 0").orderBy(F.desc("clean"), "term").limit(KNOWN).collect()
-    lexicon = Lexicon({r["term"]: r["odds"] for r in terms if not r["prefix"]}, {r["term"]: r["odds"] for r in terms if r["prefix"]}, frozenset(r["term"] for r in known))
-    fit = _features(spark, sample.filter("half = 1").select("toxic", "text"), lexicon, "toxic int").collect()
+    # each half's lexicon gives the features of the other half; all of them fit
+    # the logistic model, and the lexicon of both halves is kept
+    halves = [_lexicon_of(sample.filter(F.col("half") == h), sizes[h, 1], sizes[h, 0]) for h in (0, 1)]
+    fit = [r for h in (0, 1) for r in _features(spark, sample.filter(F.col("half") != h).select("toxic", "text"), halves[h], "toxic int").collect()]
     x, y = np.array([r["x"] for r in fit], dtype=float).reshape(len(fit), -1), np.array([r["toxic"] for r in fit], dtype=float)
-    if len(fit) < 2 or y.min() == y.max():
-        return none
+    lexicon = _lexicon_of(sample, sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     w = _logistic((x - mean) / scale, y)
     # classes were picked evenly; the intercept goes back to their shares
