@@ -12,12 +12,12 @@ ORDER_COLUMNS: list[tuple[str, T.DataType]] = [
     ("order_date", T.StringType()),
     ("catalogue_id", T.LongType()),
     ("sku_description", T.StringType()),
-    ("item_price", T.DecimalType(18, 2)),
+    ("item_price", T.DecimalType(28, 8)),
     ("quantity", T.LongType()),
-    ("order_price", T.DecimalType(18, 2)),
+    ("order_price", T.DecimalType(28, 8)),
     ("order_status", T.StringType()),
     ("return_type", T.StringType()),
-    ("return_cost", T.DecimalType(18, 4)),
+    ("return_cost", T.DecimalType(28, 8)),
     ("return_reason", T.StringType()),
     ("category", T.StringType()),
 ]

@@ -8,8 +8,6 @@ view of the same rows).  Both read whole tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,28 +35,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Adapted tables are logical plans; building one costs a schema-reading job
-# and a few thousand driver<->JVM calls, so each is built once per session
-# and file version (like a view registered in a catalog).  No data is cached.
-_VIEWS: dict[tuple, DataFrame] = {}
-
-
-def _view(builder):
-    def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = sorted(p for p in os.listdir(sf_dir) if p.endswith(".parquet"))
-        stamp = tuple((p, os.stat(os.path.join(sf_dir, p)).st_mtime_ns) for p in files)
-        key = (builder.__name__, id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), stamp)
-        df = _VIEWS.get(key)
-        if df is None:
-            df = _VIEWS[key] = builder(spark, sf_dir)
-        return df
-    wrapped.__name__ = builder.__name__
-    wrapped.__doc__ = builder.__doc__
-    return wrapped
-
-
-
-
 def _case(col: str, pairs) -> F.Column:
     expr = None
     for k, v in pairs:
@@ -66,26 +42,30 @@ def _case(col: str, pairs) -> F.Column:
     return expr
 
 
-@_view
-def orders_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines for all sellers (``seller_id = l_suppkey``).
+PART_COLUMNS = ["sku_description", "item_price", "category"]
+
+
+def orders_from_tpch(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    """Order lines for all sellers (``seller_id = l_suppkey``).  Every line has
+    a part, so ``part=False`` leaves out the join together with the columns
+    that only it gives (PART_COLUMNS).
 
     ``order_dt`` is the parsed order date; it is taken from the source
     timestamp directly, which equals parsing the formatted ``order_date``.
     """
     li = _read(spark, sf_dir, "lineitem")
-    part = _read(spark, sf_dir, "part")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     returned = F.col("l_returnflag") == "R"
-    joined = li.join(part, li["l_partkey"] == part["p_partkey"], "inner")
-    return joined.select(
+    if part:
+        p = _read(spark, sf_dir, "part")
+        li = li.join(p, li["l_partkey"] == p["p_partkey"], "inner")
+    out = li.select(
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_orderkey").alias("order_id"),
         F.date_format("l_shipdate", "dd-MM-yyyy").alias("order_date"),
         F.to_date("l_shipdate").alias("order_dt"),
         F.col("l_partkey").alias("catalogue_id"),
-        F.col("p_name").alias("sku_description"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("item_price"),
+        *([F.col("p_name").alias("sku_description"), F.col("p_retailprice").cast("decimal(18,2)").alias("item_price")] if part else []),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         price.alias("order_price"),
         _case("l_returnflag", STATUS_BY_FLAG).alias("order_status"),
@@ -94,11 +74,11 @@ def orders_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
                (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)"))
         .otherwise(F.lit(0).cast("decimal(18,4)")).alias("return_cost"),
         F.when(returned, _case("l_linenumber", REASON_BY_LINENUMBER)).alias("return_reason"),
-        F.col("p_type").alias("category"),
+        *([F.col("p_type").alias("category")] if part else []),
     )
+    return out
 
 
-@_view
 def uploads_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload catalog: one event = one registered upload."""
     ev = _read(spark, sf_dir, "events")
@@ -117,7 +97,6 @@ def uploads_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_view
 def sellers_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seller dimension (no credentials) from ``supplier``."""
     s = _read(spark, sf_dir, "supplier")

@@ -37,9 +37,10 @@ def test_write_orders_partitioned_and_pruned(spark, tmp_dir, sample_orders):
     plan = feb._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_month" in plan
     assert feb.count() == 20
-    # overwrite replaces only the months being written
-    write_orders(sample_orders.drop("_absent").filter("upload_id = 2"), out, mode="overwrite")
-    assert spark.read.parquet(out).count() == 125
+    # appending one upload's rows again touches nothing else
+    write_orders(sample_orders.drop("_absent").filter("upload_id = 2"), out, mode="append")
+    assert spark.read.parquet(out).count() == 145
+    write_orders(sample_orders.drop("_absent"), out, mode="overwrite")
     k = kpis.seller_kpis(spark.read.parquet(out), ["upload_id"]).orderBy("upload_id").collect()
     assert [r.total_orders for r in k] == [80, 20, 25]
 
