@@ -3,7 +3,7 @@
 The catalog holds one row per uploaded file: ``upload_id, seller_id,
 filename, original_name, filepath, upload_date, row_count``.  A folder
 listing is a DataFrame with at least ``filepath`` (``filename`` is derived
-when missing), e.g. from :func:`orderlens.sources.listing.list_files`.
+when missing), e.g. from :func:`orderlens.sources.files.list_files`.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from orderlens.functions.dates import DISPLAY_DATE, DISPLAY_TIMESTAMP
 from orderlens.schema import UPLOAD_GLOB
 
 _UPLOAD_FIELDS = ["upload_id", "seller_id", "filename", "original_name", "filepath", "upload_date", "row_count"]
+# Uploads of one seller and second (or time) that are ranked together, at most about.
+UPLOADS_BUCKET = 10_000
 # Bit mask keeping a 64-bit hash non-negative.
 _ID_MASK = 0x7FFFFFFFFFFFFFFF
 
@@ -31,19 +33,31 @@ def uploads_list(uploads: DataFrame) -> DataFrame:
     """Each seller's uploads newest first with their list position (0 = newest)
     and the upload time as 'yyyy-MM-dd HH:mm:ss'.
 
-    The position is computed in two levels so that no task holds all
-    uploads of one seller: rank within (seller, hour of upload), plus the
-    number of the seller's uploads in later hours, a running sum over the
-    small per-hour aggregate.
+    The position is computed in levels, so that no task holds all uploads of
+    one seller even when a bulk load gives them one time: rows are counted in
+    buckets, ranked inside a bucket, and what stands before a bucket is a
+    running sum over the counts.  A bucket is a second; a second with more than
+    UPLOADS_BUCKET uploads of the seller is cut at each time in it, and a time
+    with more at ranges of the id.
     """
-    bucket = F.coalesce(F.date_trunc("hour", "upload_date"), F.lit("0001-01-01").cast("timestamp"))
-    u = uploads.withColumn("_bucket", bucket)
-    per_bucket = u.groupBy("seller_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy("seller_id").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("seller_id", "_bucket", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("seller_id", "_bucket").orderBy(*_newest_first())
+    time = F.coalesce("upload_date", F.lit("0001-01-01").cast("timestamp"))
+    u = uploads.withColumn("_t", time)
+    second = F.date_trunc("second", "_t").alias("_second")
+    per_time = u.groupBy("seller_id", "_t").agg(F.count(F.lit(1)).alias("_c"), F.min("upload_id").alias("_lo"), F.max("upload_id").alias("_hi")).select("*", second)
+    per_second = per_time.groupBy("seller_id", "_second").agg(F.sum("_c").alias("_cs"))
+    hot = F.col("_cs") > UPLOADS_BUCKET
+    marks = per_time.join(per_second, ["seller_id", "_second"]).select(
+        "seller_id", "_t", F.when(hot, F.col("_t")).otherwise(F.col("_second")).alias("_from"), F.when(hot, F.ceil(F.col("_c") / UPLOADS_BUCKET)).otherwise(1).alias("_parts"), "_lo", "_hi")
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    part = F.floor((F.col("upload_id").cast("double") - low) / (high - low + 1) * F.col("_parts"))
+    u = u.join(marks, ["seller_id", "_t"]).withColumn("_part", F.when(F.col("_parts") > 1, part).otherwise(0).cast("int"))
+    bucket = ["_from", "_part"]
+    per_bucket = u.groupBy("seller_id", *bucket).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("seller_id").orderBy(*[F.desc(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("seller_id", *bucket, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("seller_id", *bucket).orderBy(*_newest_first())
     ranked = u.withColumn("_r", F.row_number().over(within) - 1)
-    j = ranked.join(offsets, ["seller_id", "_bucket"], "inner")
+    j = ranked.join(offsets, ["seller_id", *bucket], "inner")
     return j.select(
         "seller_id", "upload_id", "filename", "original_name", "filepath",
         F.date_format("upload_date", DISPLAY_TIMESTAMP).alias("upload_date"),
@@ -124,8 +138,9 @@ def seller_from_path(filepath: Column | str) -> Column:
     return F.coalesce(F.when(folder != "", folder.cast("bigint")), seller_from_filename(basename(p)))
 
 
-def register_uploads(new_files: DataFrame, seller_id: Column | None = None) -> DataFrame:
-    """Catalog rows for new files ``(filename, filepath, row_count)``.
+def register_uploads(new_files: DataFrame, seller_id: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Catalog rows for new files ``(filename, filepath, row_count)``, with
+    columns ``keep`` of the files.
 
     ``upload_id`` is a 63-bit hash of the path: deterministic, so a rerun
     after a lost task or a repeated scan yields the same id, and assigned
@@ -140,6 +155,7 @@ def register_uploads(new_files: DataFrame, seller_id: Column | None = None) -> D
         "filepath",
         F.current_timestamp().alias("upload_date"),
         F.coalesce(F.col("row_count"), F.lit(0)).cast("bigint").alias("row_count"),
+        *keep,
     )
 
 

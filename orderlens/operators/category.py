@@ -13,8 +13,6 @@ from orderlens.operators._common import (
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
 
 TOP_CATEGORIES_K = 5
-# Scope groups (one small row each) up to which a per-group table is broadcast.
-MAX_BROADCAST_GROUPS = 1_000_000
 
 # --- fixed values -----------------------------------------------------------
 # Rule thresholds.
@@ -45,21 +43,9 @@ ACTION_ITEMS = [
 
 
 def _fill(template: str, name: Column, value: Column | None = None) -> Column:
-    """Build a message column from a '{name}'/'{value}' template."""
-    parts: list[Column] = []
-    rest = template
-    while rest:
-        i_n, i_v = rest.find("{name}"), rest.find("{value}")
-        cands = [(i, tok) for i, tok in ((i_n, "{name}"), (i_v, "{value}")) if i >= 0]
-        if not cands:
-            parts.append(F.lit(rest))
-            break
-        i, tok = min(cands)
-        if i:
-            parts.append(F.lit(rest[:i]))
-        parts.append(name if tok == "{name}" else value.cast("string"))
-        rest = rest[i + len(tok):]
-    return F.concat(*parts)
+    """A message column from a '{name}' / '{value}' template (name first)."""
+    text = template.replace("%", "%%").replace("{name}", "%s").replace("{value}", "%s")
+    return F.format_string(text, name, *([value.cast("string")] if value is not None else []))
 
 
 def with_category(orders: DataFrame, dim: DataFrame | None = None) -> DataFrame:
@@ -137,21 +123,14 @@ def _with_scope_max(g: DataFrame, keys: list[str], col: str, out: str) -> DataFr
 
     A group can hold very many categories (every unmapped catalogue id is
     its own), so the maximum is an aggregate (partial per task, no group
-    in one task) joined back on the scope key, not a window.  ``g`` is
-    checkpointed to the shared checkpoint folder first, so the order lines
-    are scanned once for both uses and the lineage is cut.
+    in one task) joined back on the scope key, not a window.  Both sides
+    start from the same aggregate, whose exchange Spark reuses, so the
+    order lines are scanned once; the join strategy is left to AQE.
     """
     if not keys:
-        mx = g.agg(F.max(col)).first()[0]  # one number
-        return g.withColumn(out, F.lit(mx).cast("double"))
-    g = g.checkpoint(eager=True)
-    mx = g.groupBy(*keys).agg(F.max(col).alias(out))
-    # one row per scope group: broadcast when the counted size is bounded
-    # (the category rows then keep their partitioning and are not moved);
-    # beyond that the join shuffles and AQE splits a skewed group
-    if mx.count() <= MAX_BROADCAST_GROUPS:
-        mx = F.broadcast(mx)
-    return g.join(mx, keys, "inner")
+        one = g.withColumn("_all", F.lit(1))
+        return one.join(one.groupBy("_all").agg(F.max(col).alias(out)), "_all").drop("_all")
+    return g.join(g.groupBy(*keys).agg(F.max(col).alias(out)), keys, "inner")
 
 
 def top_categories(scorecard: DataFrame, by: str = "revenue", scope: Scope | None = DEFAULT_SCOPE,

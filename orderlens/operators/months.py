@@ -185,8 +185,8 @@ def available_years(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
     fallback years.
 
     One aggregate: the set of years of a group is bounded by the calendar
-    (a few dozen values), so it is collected per group and exploded, with
-    the fallback when empty.
+    (a few dozen values), so it is collected per group, sorted and exploded,
+    with the fallback when empty; a group's years follow each other in order.
     """
     keys = scope_cols(scope)
     d = orders
@@ -198,5 +198,5 @@ def available_years(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
         extra = key_join(groups.select(*keys).distinct(), g.select(*keys), keys, "left_anti")
         g = g.unionByName(extra.withColumn("_ys", F.array().cast("array<int>")))
     fallback = F.array(*[F.lit(y) for y in FALLBACK_YEARS]).cast("array<int>")
-    ys = F.when(F.size("_ys") > 0, F.col("_ys")).otherwise(fallback)
+    ys = F.when(F.size("_ys") > 0, F.sort_array("_ys")).otherwise(fallback)
     return g.select(*keys, F.explode(ys).alias("year"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import parse_dmy
 from orderlens.operators._common import (
+    W_ROWS, n_nonnull,
     ABSENT_COL, DEFAULT_SCOPE, Scope, col_or_null, has, n_rows, n_where, scope_cols,
 )
 from orderlens.schema import ORDER_COLUMNS, STATUS_CANCELLED, STATUS_DELIVERED, STATUS_RETURNED
@@ -25,6 +26,8 @@ def validate_orders(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> D
     not ``item_price * quantity`` (all three present); and the columns its
     files lacked (comma-separated, sorted).  One aggregate."""
     keys = scope_cols(scope)
+    if has(orders, W_ROWS) and not has(orders, "item_price"):
+        raise ValueError("a roll-up keeps sums of prices, not lines; validate the order lines")
     date = col_or_null(orders, "order_date")
     parsed = F.col("order_dt") if has(orders, "order_dt") else parse_dmy(date)
     status = col_or_null(orders, "order_status")
@@ -38,8 +41,8 @@ def validate_orders(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> D
     g = orders.groupBy(*keys).agg(
         n_rows(orders).alias("lines"),
         n_where(orders, date.isNotNull() & parsed.isNull()).alias("bad_dates"),
-        n_where(orders, col_or_null(orders, "order_id").isNull()).alias("missing_order_ids"),
-        n_where(orders, price.isNull()).alias("missing_prices"),
+        (n_rows(orders) - n_nonnull(orders, "order_id")).alias("missing_order_ids"),
+        (n_rows(orders) - n_nonnull(orders, "order_price")).alias("missing_prices"),
         n_where(orders, status.isNotNull() & ~status.isin(KNOWN_STATUSES)).alias("unknown_statuses"),
         n_where(orders, F.coalesce(mismatch, F.lit(False))).alias("price_mismatches"),
         absent.alias("_absent_cols"),

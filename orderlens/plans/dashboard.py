@@ -7,21 +7,20 @@ with the line counts the results need (all lines, lines with an order id,
 lines with a price) and the summed amounts.  That table is written to the
 shared checkpoint folder (``spark.checkpoint.dir``) and every result is
 computed from it: the operators sum the stored counts instead of counting
-lines.  The write also cuts the lineage, so a lost executor re-reads the
-table instead of recomputing the raw scan.  A seller with many lines per
+lines.  The checkpoint also cuts the lineage, so a lost executor re-reads the
+table instead of recomputing the raw scan; Spark deletes it when nothing
+refers to it any more (spark.cleaner.referenceTracking.cleanCheckpoints).  A seller with many lines per
 day and SKU shrinks by that factor.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators import category, kpis, sku
 from orderlens.operators._common import ABSENT_COL, DEFAULT_SCOPE, W_ROWS, Scope, n_nonnull, n_rows, scope_cols
-from orderlens.session import checkpoint_path
+from orderlens.session import ensure_checkpoint_dir
 
 # Grouping columns of the roll-up (those any dashboard result groups or
 # filters on), when present.
@@ -52,11 +51,10 @@ def compact(spark, rollup_path: str, out_path: str, scope: Scope | None = ("sell
     rollup(spark.read.parquet(rollup_path).drop("batch"), scope).write.mode("overwrite").parquet(out_path)
 
 
-def materialize(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE, name: str = "dashboard") -> DataFrame:
-    """Write the roll-up to the shared checkpoint folder and read it back."""
-    path = checkpoint_path(orders.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    rollup(orders, scope).write.mode("overwrite").parquet(path)
-    return orders.sparkSession.read.parquet(path)
+def materialize(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
+    """The roll-up, checkpointed to the shared folder (runs a job)."""
+    ensure_checkpoint_dir(orders.sparkSession)
+    return rollup(orders, scope).checkpoint()
 
 
 def dashboard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
@@ -88,7 +86,6 @@ def dashboard(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE,
 
 def dashboard_json(orders: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:
     """The per-group result document (KPIs, reason map, top returned
-    catalogues and SKUs) built from one roll-up of the orders instead of
-    one scan of the order lines per part."""
-    keys = scope_cols(scope)
-    return kpis.kpi_json(materialize(orders, keys, name="dashboard-json"), keys)
+    catalogues and SKUs).  Each part aggregates only the columns that it needs;
+    nothing is stored between them."""
+    return kpis.kpi_json(orders, scope_cols(scope))

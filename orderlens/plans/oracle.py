@@ -8,6 +8,9 @@ double, matching ``rint`` on the Spark side.
 
 from __future__ import annotations
 
+from orderlens.operators.category import (
+    ACTION_ITEMS, MSG_ELEVATED_RETURN, MSG_EXPAND_TOP, MSG_FOCUS_RETURNS, MSG_HIGH_RETURN, MSG_LOW_MARGIN, MSG_STRONG,
+)
 from orderlens.sources.testdata import CATALOG_CUTOFF, with_views
 
 
@@ -157,14 +160,21 @@ SQL["top_returned_skus"] = _top_returned("sku_description", "sku_description")
 
 SQL["category_mapped"] = """
 SELECT seller_id, catalogue_id, category, COUNT(order_id) AS orders FROM (
-  SELECT o.seller_id, o.catalogue_id, o.order_id,
-         COALESCE(d.category, 'Category ' || CAST(o.catalogue_id AS VARCHAR)) AS category
-  FROM o LEFT JOIN (SELECT p_partkey AS catalogue_id, p_type AS category FROM part WHERE p_partkey % 2 = 0) d
-       ON o.catalogue_id = d.catalogue_id)
+  SELECT x.seller_id, x.catalogue_id, x.order_id,
+         COALESCE(d.category, 'Category ' || CAST(x.catalogue_id AS VARCHAR)) AS category
+  FROM (SELECT seller_id, order_id, CASE WHEN order_status = 'cancelled' THEN catalogue_id + 1000000000 ELSE catalogue_id END AS catalogue_id FROM o) x
+       LEFT JOIN (SELECT p_partkey AS catalogue_id, p_type AS category FROM part) d ON x.catalogue_id = d.catalogue_id)
 WHERE category IS NOT NULL
 GROUP BY seller_id, catalogue_id, category
 """
 
+def _message(template: str, value: str | None = None) -> str:
+    """A message template as a SQL expression over ``name`` and ``value``."""
+    quoted = "'" + template.replace("'", "''") + "'"
+    out = f"replace({quoted}, '{{name}}', name)"
+    return f"replace({out}, '{{value}}', CAST({value} AS VARCHAR))" if value else out
+
+
 SCORECARD_CTE = f"""
 g AS (
   SELECT seller_id, category AS name,
@@ -202,21 +212,21 @@ SQL["top_categories_by_revenue"] = _top_categories("revenue")
 SQL["top_categories_by_orders"] = _top_categories("orders")
 
 SQL["category_insights"] = f"""WITH {SCORECARD_CTE}
-SELECT seller_id, name, 'danger' AS severity, 'high_return_rate' AS rule, return_rate AS metric
+SELECT seller_id, name, 'danger' AS severity, 'high_return_rate' AS rule, return_rate AS metric, {_message(MSG_HIGH_RETURN, "return_rate")} AS message
   FROM sc WHERE return_rate > 15
 UNION ALL
-SELECT seller_id, name, 'warning', 'elevated_return_rate', return_rate
+SELECT seller_id, name, 'warning', 'elevated_return_rate', return_rate, {_message(MSG_ELEVATED_RETURN, "return_rate")}
   FROM sc WHERE return_rate > 10 AND NOT (return_rate > 15)
 UNION ALL
-SELECT seller_id, name, 'success', 'high_performance', performance_score FROM sc WHERE performance_score > 70
+SELECT seller_id, name, 'success', 'high_performance', performance_score, {_message(MSG_STRONG, "performance_score")} FROM sc WHERE performance_score > 70
 UNION ALL
-SELECT seller_id, name, 'warning', 'low_profit_margin', profit_margin FROM sc WHERE profit_margin < 10
+SELECT seller_id, name, 'warning', 'low_profit_margin', profit_margin, {_message(MSG_LOW_MARGIN, "profit_margin")} FROM sc WHERE profit_margin < 10
 """
 
 SQL["category_recommendations"] = f"""WITH {SCORECARD_CTE}
-SELECT DISTINCT seller_id, 'focus_high_returns' AS rule, CAST(NULL AS VARCHAR) AS name FROM sc WHERE return_rate > 15
+SELECT DISTINCT seller_id, 'focus_high_returns' AS rule, CAST(NULL AS VARCHAR) AS name, '{MSG_FOCUS_RETURNS}' AS message FROM sc WHERE return_rate > 15
 UNION ALL
-SELECT seller_id, 'expand_top_category', name FROM (
+SELECT seller_id, 'expand_top_category', name, {_message(MSG_EXPAND_TOP)} FROM (
   SELECT seller_id, name, ROW_NUMBER() OVER (PARTITION BY seller_id ORDER BY revenue DESC, name ASC) AS rnk FROM sc)
 WHERE rnk = 1
 """
@@ -224,10 +234,7 @@ WHERE rnk = 1
 SQL["category_actions"] = f"""WITH {SCORECARD_CTE}
 SELECT s.seller_id, a.item, a.title, a.description
 FROM (SELECT DISTINCT seller_id FROM sc) s,
-     (VALUES (1, 'Review High Return Categories', 'Investigate root causes of returns in categories with >10% return rate.'),
-             (2, 'Optimize Pricing', 'Consider adjusting prices in low margin categories to improve profitability.'),
-             (3, 'Expand Successful Categories', 'Invest more in top-performing categories to maximize revenue.'),
-             (4, 'Improve Descriptions', 'Add detailed product descriptions to reduce return rates.')) a(item, title, description)
+     (VALUES {", ".join(f"({i}, '{t}', '{d}')" for i, (t, d) in enumerate(ACTION_ITEMS, 1))}) a(item, title, description)
 """
 
 SKU_RANK = f"""
@@ -461,7 +468,8 @@ WITH new AS (
   WHERE regexp_full_match(filename, '[^.].*_[0-9].*\\.csv')
     AND filename NOT IN (SELECT filename FROM {KNOWN}))
 SELECT TRY_CAST(split_part(new.filename, '_', 1) AS BIGINT) AS seller_id, new.filename,
-       new.filename AS original_name, new.filepath, CAST(COALESCE(c.n, 0) AS BIGINT) AS row_count
+       new.filename AS original_name, new.filepath, CAST(COALESCE(c.n, 0) AS BIGINT) AS row_count,
+       split_part(new.filename, '_', 1) || '_' || new.filename AS stored_name
 FROM new LEFT JOIN {ROWS_PER_FILE} c ON new.filepath = c.filepath
 """
 
@@ -538,6 +546,47 @@ SELECT filename, COUNT(*) AS n FROM ev WHERE filename IS NOT NULL GROUP BY filen
 """
 
 
+SQL["orders_csv_wide"] = SQL["seller_kpis"]
+SQL["file_row_counts"] = "SELECT seller_id, CAST(COUNT(*) AS BIGINT) AS row_count FROM o GROUP BY seller_id"
+
+_YEARLY = "(SELECT *, CAST(seller_id * 10000 + year(order_dt) AS BIGINT) AS upload_id FROM o)"
+_TOTALS = "SELECT seller_id, upload_id, COUNT(*) AS lines, CAST(SUM(order_price) AS DOUBLE) AS amount"
+SQL["upload_replace"] = f"{_TOTALS} FROM {_YEARLY} WHERE year(order_dt) <> 1995 OR {RET} GROUP BY seller_id, upload_id"
+SQL["orders_delete"] = f"{_TOTALS} FROM {_YEARLY} WHERE year(order_dt) <> 1996 GROUP BY seller_id, upload_id"
+SQL["orders_purge"] = f"{_TOTALS} FROM {_YEARLY} WHERE seller_id NOT IN (SELECT seller_id FROM sl WHERE balance < 0) GROUP BY seller_id, upload_id"
+SQL["sellers_purge"] = "SELECT seller_id, name, store_name, email FROM sl WHERE balance >= 0"
+
+SQL["kpi_document"] = f"""
+SELECT k.*, r.reasons, c.catalogues, s.skus
+FROM ({SQL["seller_kpis"]}) k
+LEFT JOIN (SELECT seller_id, string_agg(return_reason || '=' || cnt, ';' ORDER BY return_reason) AS reasons FROM ({SQL["return_reasons"]}) GROUP BY seller_id) r USING (seller_id)
+LEFT JOIN (SELECT seller_id, string_agg(catalogue_id || '=' || return_count, ';' ORDER BY rnk) AS catalogues FROM ({SQL["top_returned_catalogues"]}) GROUP BY seller_id) c USING (seller_id)
+LEFT JOIN (SELECT seller_id, string_agg(sku_description || '=' || return_count, ';' ORDER BY rnk) AS skus FROM ({SQL["top_returned_skus"]}) GROUP BY seller_id) s USING (seller_id)
+"""
+
+_HASH = "CAST('0x' || substr(md5(sku_description), 1, 8) AS BIGINT)"
+SQL["sku_buckets"] = f"""
+SELECT DISTINCT sku_description AS sku, 'Brand-' || substr(CAST({_HASH} % 1000 AS VARCHAR), 1, 3) AS brand, 'WH-' || CAST({_HASH} % 3 + 1 AS VARCHAR) AS warehouse
+FROM o WHERE sku_description IS NOT NULL
+"""
+
+SQL["sku_detail_one"] = f"""
+SELECT d.* FROM ({SQL["sku_detail"]}) d
+JOIN (SELECT seller_id, MIN(sku_description) AS sku FROM o GROUP BY seller_id) m ON d.seller_id = m.seller_id AND d.sku = m.sku
+"""
+
+
+def _month_pair(first: tuple[int, int], second: tuple[int, int]) -> str:
+    ym1, ym2 = (y * 12 + m - 1 for y, m in (first, second))
+    pairs = SQL["month_comparison"]
+    a, b = pairs.index("p AS (SELECT"), pairs.index("z AS (")
+    return f"{pairs[:a]}p AS (SELECT DISTINCT seller_id, {ym1} AS ym1, {ym2} AS ym2 FROM k WHERE ym IN ({ym1}, {ym2})),\n{pairs[b:]}"
+
+
+SQL["month_pair"] = _month_pair((1995, 3), (1996, 3))
+SQL["month_pair_absent"] = _month_pair((1995, 3), (1970, 1))
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements (adapter views included) keyed by query name."""
     return {name: with_views(sql) for name, sql in SQL.items()}

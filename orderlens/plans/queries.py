@@ -25,6 +25,9 @@ from orderlens.sources.testdata import (
     CATALOG_CUTOFF, orders_from_tpch, sellers_from_supplier, uploads_from_events,
 )
 
+#: Months that the month pair compares.
+CHOSEN_MONTHS = ((1995, 3), (1996, 3))
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ORDER_OUT = ["seller_id"] + [n for n, _ in ORDER_COLUMNS] + ["order_dt"]
@@ -36,6 +39,11 @@ def _orders(spark, sf):
     return orders_from_tpch(spark, sf)
 
 
+def _lines(spark, sf):
+    """Order lines without the columns that only ``part`` gives, unjoined."""
+    return orders_from_tpch(spark, sf, part=False)
+
+
 def _uploads(spark, sf):
     return uploads_from_events(spark, sf)
 
@@ -111,26 +119,106 @@ def q_orders_sink_month_kpis(spark, sf):
 
     from orderlens.session import checkpoint_path
     path = checkpoint_path(spark, f"order-table-{uuid.uuid4().hex}")
-    write_orders(_orders(spark, sf), path, mode="overwrite")
+    write_orders(_lines(spark, sf), path, mode="overwrite")
     return months.month_kpis(spark.read.parquet(path))
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from orderlens.session import checkpoint_path
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def q_orders_csv_wide(spark, sf):
+    """Seller KPIs of order files that another program might have written:
+    an unnamed index column, 40 columns before the order columns, quoted texts
+    with commas, doubled quotes and line breaks, Windows line ends."""
+    from orderlens.operators.catalog import seller_from_path
+    from orderlens.sources.csv_orders import read_orders_csv
+    path = _scratch(spark, "order-files-wide")
+    names = ["order_id", "order_date", "order_price", "order_status", "return_cost", "sku_description"]
+    header = "," + ",".join([f"extra {i}" for i in range(40)] + names)
+    cells = [F.col("order_id").cast("string"), *[F.lit(f"x{i}") for i in range(40)], F.col("order_id").cast("string"), "order_date", F.col("order_price").cast("string"), "order_status",
+             F.col("return_cost").cast("string"), F.lit('"5"" pipe, steel\r\nsecond line"')]
+    deal = F.pmod(F.col("order_id"), F.lit(16))
+    body = _lines(spark, sf).select("seller_id", deal.alias("part"), F.concat_ws(",", *cells).alias("line"))
+    files = body.groupBy("seller_id", "part").agg(F.concat(F.lit(header + "\r\n"), F.array_join(F.collect_list("line"), "\r\n")).alias("value"))
+    files.write.partitionBy("seller_id", "part").option("lineSep", "\r\n").text(path)
+    o = read_orders_csv(spark, path, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    return kpis.seller_kpis(o.withColumn("seller_id", seller_from_path("source_file")))
+
+
+def q_file_row_counts(spark, sf):
+    """Data rows of stored order files, counted per file and summed by seller."""
+    from orderlens.operators.catalog import seller_from_path
+    from orderlens.sources.csv_orders import file_row_counts
+    root = export_orders_csv(spark, sf)
+    counts = file_row_counts(spark, [f"{root}/a", f"{root}/b"], recursiveFileLookup=True, pathGlobFilter="*.csv")
+    return counts.groupBy(seller_from_path("filepath").alias("seller_id")).agg(F.sum("row_count").alias("row_count"))
+
+
+def _yearly_uploads(spark, sf):
+    """The order lines as one upload per seller and calendar year."""
+    return _lines(spark, sf).withColumn("upload_id", (F.col("seller_id") * 10000 + F.year("order_dt")).cast("bigint"))
+
+
+def _stored_totals(o: DataFrame) -> DataFrame:
+    return o.groupBy("seller_id", "upload_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("order_price").cast("double").alias("amount"))
+
+
+def q_upload_replace(spark, sf):
+    """All uploads stored, then those of 1995 uploaded again with only their
+    returned lines: the others keep all theirs."""
+    from orderlens.sources import order_table
+    path, o = _scratch(spark, "order-table"), _yearly_uploads(spark, sf)
+    order_table.store_uploads(o, path)
+    again = o.filter(F.year("order_dt") == 1995)
+    order_table.store_uploads(again.filter(F.col("order_status") == "returned"), path, again.select("seller_id", "upload_id"))
+    return _stored_totals(order_table.read_orders(spark, path))
+
+
+def q_orders_delete(spark, sf):
+    """Stored order lines after the uploads of 1996 are deleted."""
+    from orderlens.sources import order_table
+    path, o = _scratch(spark, "order-table"), _yearly_uploads(spark, sf)
+    order_table.store_uploads(o, path)
+    order_table.delete_uploads(spark, path, o.filter(F.year("order_dt") == 1996).select("upload_id"))
+    return _stored_totals(order_table.read_orders(spark, path))
+
+
+def q_orders_purge(spark, sf):
+    """Stored order lines after sellers with a negative balance are purged."""
+    from orderlens.sources import order_table
+    path, o = _scratch(spark, "order-table"), _yearly_uploads(spark, sf)
+    order_table.store_uploads(o, path)
+    order_table.purge_sellers(spark, path, sellers_from_supplier(spark, sf).filter(F.col("balance") < 0).select("seller_id"))
+    return _stored_totals(order_table.read_orders(spark, path))
+
+
+def q_sellers_purge(spark, sf):
+    """The sellers that remain after those with a negative balance are purged."""
+    s = sellers_from_supplier(spark, sf)
+    (kept,) = catalog.purge_sellers(s.filter(F.col("balance") < 0), s.select("seller_id", "name", "store_name", "email"))
+    return kept
+
+
 # --- dashboard KPIs ----------------------------------------------------------
 
 def q_seller_kpis(spark, sf):
-    return kpis.seller_kpis(_orders(spark, sf))
+    return kpis.seller_kpis(_lines(spark, sf))
 
 
 def q_upload_kpis(spark, sf):
     """KPIs per file, the original's unit: scope (seller_id, upload_id), the
     test orders taken as one upload per seller and calendar year."""
-    o = _orders(spark, sf).withColumn("upload_id", F.year("order_dt").cast("bigint"))
+    o = _lines(spark, sf).withColumn("upload_id", F.year("order_dt").cast("bigint"))
     return kpis.seller_kpis(o, ["seller_id", "upload_id"])
 
 
 def q_kpi_missing_cols(spark, sf):
     """KPIs of files without ``order_status`` and ``return_cost`` columns."""
-    return kpis.seller_kpis(_orders(spark, sf).drop("order_status", "return_cost"))
+    return kpis.seller_kpis(_lines(spark, sf).drop("order_status", "return_cost"))
 
 
 def q_order_validation(spark, sf):
@@ -140,21 +228,34 @@ def q_order_validation(spark, sf):
 
 
 def q_kpi_json(spark, sf):
-    """Result document per seller, from one materialised roll-up."""
+    """Result document per seller."""
     from orderlens.plans.dashboard import dashboard_json
     return dashboard_json(_orders(spark, sf))
 
 
+def q_kpi_document(spark, sf):
+    """The result document of every seller, parsed back into columns."""
+    from orderlens.plans.dashboard import dashboard_json
+    top = "array<struct<rnk:int,{0}:string,return_count:bigint>>"
+    schema = ("total_orders bigint, total_returns bigint, return_percent double, net_sales double, return_cost double, net_profit double, "
+              f"return_reasons map<string,bigint>, top_catalogues {top.format('catalogue_id')}, top_skus {top.format('sku_description')}")
+    d = dashboard_json(_orders(spark, sf)).select("seller_id", F.from_json("json", schema).alias("d")).select("seller_id", "d.*")
+    pairs = lambda c, k: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit("="), x["return_count"].cast("string"))), ";")
+    reasons = F.array_join(F.transform(F.array_sort(F.map_entries("return_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return d.select("seller_id", "total_orders", "total_returns", "return_percent", "net_sales", "return_cost", "net_profit", reasons.alias("reasons"),
+                    pairs("top_catalogues", "catalogue_id").alias("catalogues"), pairs("top_skus", "sku_description").alias("skus"))
+
+
 def q_daily_sales(spark, sf):
-    return kpis.daily_sales(_orders(spark, sf))
+    return kpis.daily_sales(_lines(spark, sf))
 
 
 def q_return_reasons(spark, sf):
-    return kpis.return_reasons(_orders(spark, sf))
+    return kpis.return_reasons(_lines(spark, sf))
 
 
 def q_top_returned_catalogues(spark, sf):
-    return kpis.top_returned_catalogues(_orders(spark, sf))
+    return kpis.top_returned_catalogues(_lines(spark, sf))
 
 
 def q_top_returned_skus(spark, sf):
@@ -164,16 +265,16 @@ def q_top_returned_skus(spark, sf):
 # --- categories --------------------------------------------------------------
 
 def _part_dim(spark, sf):
-    """A catalogue dictionary covering half of the parts (even keys), so
-    both the dictionary branch and the 'Category <id>' fallback run."""
+    """A catalogue dictionary of all parts."""
     part = spark.read.parquet(f"{sf.rstrip('/')}/part.parquet")
-    return part.filter(F.pmod(F.col("p_partkey"), F.lit(2)) == 0).select(
-        F.col("p_partkey").alias("catalogue_id"), F.col("p_type").alias("category"))
+    return part.select(F.col("p_partkey").alias("catalogue_id"), F.col("p_type").alias("category"))
 
 
 def q_category_mapped(spark, sf):
-    o = _orders(spark, sf).drop("category")
-    return category.category_mapped(o, _part_dim(spark, sf))
+    """Categories by dictionary; cancelled lines have a catalogue id that no
+    dictionary knows, so the 'Category <id>' fallback runs too."""
+    unknown = F.when(F.col("order_status") == "cancelled", F.col("catalogue_id") + 1_000_000_000).otherwise(F.col("catalogue_id"))
+    return category.category_mapped(_lines(spark, sf).withColumn("catalogue_id", unknown), _part_dim(spark, sf))
 
 
 def _scorecard(spark, sf):
@@ -196,11 +297,11 @@ def q_top_categories_by_orders(spark, sf):
 
 def q_category_insights(spark, sf):
     return category.category_insights(_scorecard(spark, sf)).select(
-        "seller_id", "name", "severity", "rule", "metric")
+        "seller_id", "name", "severity", "rule", "metric", "message")
 
 
 def q_category_recommendations(spark, sf):
-    return category.category_recommendations(_scorecard(spark, sf)).select("seller_id", "rule", "name")
+    return category.category_recommendations(_scorecard(spark, sf)).select("seller_id", "rule", "name", "message")
 
 
 def q_category_actions(spark, sf):
@@ -231,6 +332,14 @@ def q_sku_detail(spark, sf):
     return sku.sku_detail(o, requests, prefilter=False)
 
 
+def q_sku_detail_one(spark, sf):
+    """One SKU of each seller (the first by text), the orders filtered by the
+    requests before they are aggregated."""
+    o = _orders(spark, sf)
+    requests = o.groupBy("seller_id").agg(F.min("sku_description").alias("sku"))
+    return sku.sku_detail(o, requests, prefilter=True)
+
+
 def q_sku_page_kpis(spark, sf):
     return sku.sku_page_kpis(_orders(spark, sf))
 
@@ -252,30 +361,40 @@ def q_date_parse(spark, sf):
         F.concat(F.lit("0"), d),
         F.concat(F.lit("31"), F.substring(d, 3, 8)),
     )
-    dates = _orders(spark, sf).select("order_date").distinct()
+    dates = _lines(spark, sf).select("order_date").distinct()
     raw = dates.select(F.explode(variants).alias("raw")).distinct()
     return raw.select("raw", parse_dmy("raw").alias("order_dt"))
 
 
 def q_month_daily_revenue(spark, sf):
-    return months.month_daily_revenue(_orders(spark, sf))
+    return months.month_daily_revenue(_lines(spark, sf))
 
 
 def q_month_kpis(spark, sf):
-    return months.month_kpis(_orders(spark, sf))
+    return months.month_kpis(_lines(spark, sf))
 
 
 def q_month_return_reasons(spark, sf):
-    return months.month_return_reasons(_orders(spark, sf))
+    return months.month_return_reasons(_lines(spark, sf))
 
 
 def q_month_comparison(spark, sf):
     """Month-over-month comparison for every month touching a data month."""
-    return months.month_over_month(_orders(spark, sf))
+    return months.month_over_month(_lines(spark, sf))
+
+
+def q_month_pair(spark, sf):
+    """Two chosen months side by side; only they are scanned."""
+    return months.month_comparison(_lines(spark, sf), *CHOSEN_MONTHS)
+
+
+def q_month_pair_absent(spark, sf):
+    """A chosen month with data against one without any."""
+    return months.month_comparison(_lines(spark, sf), CHOSEN_MONTHS[0], (1970, 1))
 
 
 def q_available_years(spark, sf):
-    return months.available_years(_orders(spark, sf))
+    return months.available_years(_lines(spark, sf))
 
 
 # --- upload catalog ----------------------------------------------------------
@@ -332,7 +451,7 @@ def q_upload_register(spark, sf):
     new = catalog.discover_uploads(listing, known)
     counts = catalog.upload_row_counts(new.select("filepath"), _rows_per_file(ev))
     reg = catalog.register_uploads(new.join(counts, "filepath", "left"))
-    return reg.select("seller_id", "filename", "original_name", "filepath", "row_count")
+    return reg.select("seller_id", "filename", "original_name", "filepath", "row_count", catalog.stored_name("seller_id", "original_name").alias("stored_name"))
 
 
 def q_uploads_existing(spark, sf):
@@ -410,10 +529,17 @@ QUERIES: dict[str, Query] = {
     "orders_csv_kpis": q_orders_csv_kpis,
     "stream_ingest_kpis": q_stream_ingest_kpis,
     "orders_sink_month_kpis": q_orders_sink_month_kpis,
+    "orders_csv_wide": q_orders_csv_wide,
+    "file_row_counts": q_file_row_counts,
+    "upload_replace": q_upload_replace,
+    "orders_delete": q_orders_delete,
+    "orders_purge": q_orders_purge,
+    "sellers_purge": q_sellers_purge,
     "upload_kpis": q_upload_kpis,
     "kpi_missing_cols": q_kpi_missing_cols,
     "order_validation": q_order_validation,
     "kpi_json": q_kpi_json,
+    "kpi_document": q_kpi_document,
     "daily_sales": q_daily_sales,
     "return_reasons": q_return_reasons,
     "top_returned_catalogues": q_top_returned_catalogues,
@@ -429,12 +555,15 @@ QUERIES: dict[str, Query] = {
     "sku_ranking_join": q_sku_ranking_join,
     "sku_buckets": q_sku_buckets,
     "sku_detail": q_sku_detail,
+    "sku_detail_one": q_sku_detail_one,
     "sku_page_kpis": q_sku_page_kpis,
     "date_parse": q_date_parse,
     "month_daily_revenue": q_month_daily_revenue,
     "month_kpis": q_month_kpis,
     "month_return_reasons": q_month_return_reasons,
     "month_comparison": q_month_comparison,
+    "month_pair": q_month_pair,
+    "month_pair_absent": q_month_pair_absent,
     "available_years": q_available_years,
     "uploads_list": q_uploads_list,
     "uploads_by_date": q_uploads_by_date,
