@@ -13,8 +13,8 @@ TARGET recall; all rows are indexed and all candidates of visited cells are
 scored exactly in double precision.
 
 Equal vectors are indexed once; a class carries its 21 smallest ids, enough
-for any query (copies tie, and ties go to the smaller id).  Cells are split in
-blocks of bounded size on both sides, so that no group grows with the data.
+for any query (copies tie, and ties go to the smaller id).  Cells are laid out
+in blocks of bounded size on both sides, so that no group grows with the data.
 Queries that find fewer candidates than asked visit every cell.
 
 Cases: vectors that are null, zero, or hold null or non-finite parts, and rows
@@ -39,8 +39,8 @@ TABLES = 2
 TARGET = 0.97
 #: Queries whose exact neighbours set the number of visited cells.
 PROBE_QUERIES = 128
-#: Vectors aimed at in a cell, and most vectors or queries in a block.
-CELL, BLOCK = 1500, 8192
+#: Vectors aimed at in a cell, and vectors or queries aimed at in a block.
+CELL, BLOCK = 1500, 16384
 SEED = 20240607
 
 
@@ -101,39 +101,56 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
     return rows.mapInArrow(run, f"{name} long, vec binary")
 
 
-def _cell_rows(rows: DataFrame, hashing: Hashing, name: str, query: bool, visits: int = 0, cells=None) -> DataFrame:
-    """(table, cell, name, vec): of a vector its cell in each table, of a query
-    the cells that it visits."""
-    schema = pa.schema([("tab", pa.int32()), ("cell", pa.string()), (name, pa.int64()), ("vec", pa.binary())])
+def _cell_rows(rows: DataFrame, hashing: Hashing) -> DataFrame:
+    """(tab, cell, cid, vec): the cell of each vector in each table."""
+    schema = pa.schema([("tab", pa.int32()), ("cell", pa.string()), ("cid", pa.int64()), ("vec", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                own = hashing.cells(_matrix(b.column(1)))
+                for t in range(TABLES):
+                    yield batch(schema, [t] * len(b), [",".join(map(str, c)) for c in own[:, t].tolist()], b.column(0), b.column(1))
+    return rows.mapInArrow(run, "tab int, cell string, cid long, vec binary")
+
+
+def _probe_rows(queries: DataFrame, hashing: Hashing, visits: int) -> DataFrame:
+    """(tab, cell, query): the cells that each query visits, likeliest first."""
+    schema = pa.schema([("tab", pa.int32()), ("cell", pa.string()), ("query", pa.int64())])
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
             x = _matrix(b.column(1))
-            own = hashing.cells(x, query)
+            own, chance = hashing.cells(x, True), hashing.probes(x)
             for t in range(TABLES):
-                if query:
-                    rank = np.argsort(-hashing.probes(x)[:, t], axis=1, kind="stable")[:, :visits]
-                    at = own[:, None, t] + hashing.offsets()[rank]
-                else:
-                    at = own[:, None, t]
-                each = at.shape[1]
-                take = np.repeat(np.arange(len(b)), each)
+                rank = np.argsort(-chance[:, t], axis=1, kind="stable")[:, :visits]
+                at = own[:, None, t] + hashing.offsets()[rank]
                 cell = [",".join(map(str, c)) for c in at.reshape(-1, hashing.k).tolist()]
-                yield batch(schema, [t] * len(cell), cell, b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)))
-    return rows.mapInArrow(run, f"tab int, cell string, {name} long, vec binary")
-
-
-def _blocks(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """The best ``keep`` vectors of every cell for each query in it, as
-    (query, cid, score): cells are cut into blocks on both sides."""
-    size = lambda df, n: df.groupBy("tab", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
-    sizes = size(vectors, "nv").join(size(queries, "nq"), ["tab", "cell"])
-    split = lambda df, name, own, other, n, m: df.join(sizes, ["tab", "cell"]).select(
-        "tab", "cell", F.pmod(F.xxhash64(name), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other), name, "vec")
-    v = split(vectors, "cid", "bv", "bq", "nv", "nq").groupBy("tab", "cell", "bv", "bq")
-    q = split(queries, "query", "bq", "bv", "nq", "nv").groupBy("tab", "cell", "bv", "bq")
+                yield batch(schema, [t] * len(cell), cell, b.column(0).take(pa.array(np.repeat(np.arange(len(b)), at.shape[1]))))
+    return queries.mapInArrow(run, "tab int, cell string, query long")
+
+
+def _blocks(vectors: DataFrame, probes: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """The best ``keep`` vectors of visited cells for each query and block, as
+    (query, cid, score).
+
+    A table's cells, in order, are laid out in blocks of about BLOCK vectors; a
+    cell that crosses a border is dealt to both sides by hash.  Queries of a
+    block are cut into groups of about BLOCK.
+    """
+    cells = vectors.groupBy("tab", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("tab").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    laid = cells.withColumn("before", before).select("tab", "cell", F.floor(F.col("before") / BLOCK).cast("int").alias("first"),
+                                                     F.floor((F.col("before") + F.col("n") - 1) / BLOCK).cast("int").alias("last"))
+    asked = probes.join(laid, ["tab", "cell"]).select("tab", F.explode(F.sequence("first", "last")).alias("block"), "query", "cell").groupBy("tab", "block", "query").agg(
+        F.collect_set("cell").alias("cells"))
+    groups = asked.groupBy("tab", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
+    q = (asked.join(groups, ["tab", "block"]).join(queries, "query")
+         .select("tab", "block", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int").alias("g"), "query", "vec", "cells").groupBy("tab", "block", "g"))
+    v = (vectors.join(laid, ["tab", "cell"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("cid"), F.col("last") - F.col("first") + 1)).cast("int"))
+         .join(groups, ["tab", "block"]).select("tab", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "cid", "vec", "cell").groupBy("tab", "block", "g"))
     schema = pa.schema([("query", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -141,19 +158,26 @@ def _blocks(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
             return schema.empty_table()
         x, y = _matrix(left["vec"].combine_chunks()), _matrix(right["vec"].combine_chunks())
         ids, asked = left["cid"].to_numpy(), right["query"].to_numpy()
-        order = np.argsort(ids)
-        x, ids = x[order], ids[order]
+        names, cell = np.unique(np.array(left["cell"].to_pylist()), return_inverse=True)
+        number = {c: i for i, c in enumerate(names.tolist())}
+        visits = right["cells"].to_pylist()
         out = []
-        for i in range(0, len(y), 512):
-            s = y[i:i + 512] @ x.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * keep else _top(s, keep)
-            out.append((np.repeat(asked[i:i + 512], top.shape[1]), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        for i in range(0, len(y), 256):
+            visited = np.zeros((len(y[i:i + 256]), len(names)), bool)
+            for row, cells in enumerate(visits[i:i + 256]):
+                visited[row, [number[c] for c in cells if c in number]] = True
+            s = np.where(visited[:, cell], y[i:i + 256] @ x.T, -np.inf)
+            top = _top(s, min(keep, s.shape[1]))
+            score = np.take_along_axis(s, top, 1)
+            real = np.isfinite(score)
+            out.append((np.broadcast_to(asked[i:i + 256, None], top.shape)[real], ids[top][real], score[real]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     return v.cogroup(q).applyInArrow(run, "query long, cid long, score double")
 
 
 def _top(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the ``keep`` largest entries of each row, in any order."""
     return np.argpartition(-s, keep - 1, axis=1)[:, :keep]
 
 
@@ -222,15 +246,14 @@ def nearest(spark: SparkSession, embeddings: DataFrame, is_query, k: int = 20, i
     far = [math.sqrt(max(0.0, hashing.norm**2 + float(x[r["q"]] @ x[r["q"]]) - 2 * r["score"])) for r in exact]
     hashing.distance = max(1e-6 * hashing.norm, float(np.median(far)))
     visits = _visits(hashing, x, exact)
-    cells = _cell_rows(reps, hashing, "cid", False)
+    cells = _cell_rows(reps, hashing)
     # classes of queries, by the exact scores of visited cells
-    found = _best(_blocks(cells, _cell_rows(queries, hashing, "query", True, visits), keep).dropDuplicates(["query", "cid"]), keep).select("query", "cid").checkpoint()
+    found = _best(_blocks(cells, _probe_rows(queries, hashing, visits), queries, keep).dropDuplicates(["query", "cid"]), keep).select("query", "cid").checkpoint()
     # queries that found too few visit every cell of the first table
     few = queries.join(found.groupBy("query").count().filter(F.col("count") >= min(keep, stats[0])), "query", "left_anti")
     first = cells.filter("tab = 0")
     every = first.select("tab", "cell").distinct()
-    rest = _best(_blocks(first, few.select(F.lit(0).alias("tab"), "query", "vec").join(every, "tab").select("tab", "cell", "query", "vec"), keep), keep).select("query", "cid") \
-        if few.take(1) else found.limit(0)
+    rest = _best(_blocks(first, few.select(F.lit(0).alias("tab"), "query").join(every, "tab"), few, keep), keep).select("query", "cid") if few.take(1) else found.limit(0)
     found = found.join(few, "query", "left_anti").unionByName(rest)
     # exact scores of the original vectors, in order of their parts
     vec = heads.select("cid", "vec")
