@@ -13,6 +13,8 @@ from orderlens.operators._common import (
 from orderlens.schema import UNMAPPED_CATEGORY_PREFIX, catalogue_dim
 
 TOP_CATEGORIES_K = 5
+# Parts in which the categories of one group are limited first.
+SALTS = 32
 
 # --- fixed values -----------------------------------------------------------
 # Rule thresholds.
@@ -123,21 +125,31 @@ def _with_scope_max(g: DataFrame, keys: list[str], col: str, out: str) -> DataFr
 
     A group can hold very many categories (every unmapped catalogue id is
     its own), so the maximum is an aggregate (partial per task, no group
-    in one task) joined back on the scope key, not a window.  Both sides
-    start from the same aggregate, whose exchange Spark reuses, so the
-    order lines are scanned once; the join strategy is left to AQE.
+    in one task) joined back on the scope key and a salt, not a window: the
+    rows of one group are dealt over SALTS parts.  Both sides start from the
+    same aggregate; the join strategy is left to AQE.
     """
     if not keys:
         one = g.withColumn("_all", F.lit(1))
         return one.join(one.groupBy("_all").agg(F.max(col).alias(out)), "_all").drop("_all")
-    return g.join(g.groupBy(*keys).agg(F.max(col).alias(out)), keys, "inner")
+    best = g.groupBy(*keys).agg(F.max(col).alias(out)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = g.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+    return salted.join(best, [*keys, "_salt"], "inner").drop("_salt")
 
 
 def top_categories(scorecard: DataFrame, by: str = "revenue", scope: Scope | None = DEFAULT_SCOPE,
                    k: int = TOP_CATEGORIES_K) -> DataFrame:
-    """Top ``k`` categories by ``by`` (revenue or orders), ties by name."""
+    """Top ``k`` categories by ``by`` (revenue or orders), ties by name.
+
+    A group's categories are first limited in SALTS parts, so that a group
+    with very many of them is not sorted by one task.
+    """
     keys = scope_cols(scope)
-    return top_k(scorecard, keys, [F.desc(by), F.asc("name")], k)
+    order = [F.desc(by), F.asc("name")]
+    if keys:
+        salted = scorecard.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+        scorecard = top_k(salted, [*keys, "_salt"], order, k).drop("_salt", "rnk")
+    return top_k(scorecard, keys, order, k)
 
 
 def category_insights(scorecard: DataFrame, scope: Scope | None = DEFAULT_SCOPE) -> DataFrame:

@@ -4,21 +4,21 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from orderlens.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 # these write files while being built; their read-back plans are covered by the others
-WRITERS = {"orders_csv_kpis", "stream_ingest_kpis", "orders_sink_month_kpis"}
+WRITERS = {"orders_csv_kpis", "stream_ingest_kpis", "orders_sink_month_kpis", "orders_csv_wide", "file_row_counts", "upload_replace", "orders_delete", "orders_purge"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition",
              "BatchEvalPython", "ArrowEvalPython"]
 
 
 def _plan(spark, name):
-    return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_no_unscalable_operators(spark, name):
     plan = _plan(spark, name)
     assert not [f for f in FORBIDDEN if f in plan]
