@@ -1,4 +1,6 @@
-"""Golden values of the three sample order files (FIXTURES.md §3).
+"""Golden values of the three sample order files, which
+tools/make_sample_orders.py writes; the values were computed from the rows with
+pandas, apart from the operators.
 
 Files: upload 1 = January (A), 2 = February (B), 3 = March (C), all of
 seller 4.  Scope (seller_id, upload_id) is "one file" as in the original
@@ -26,9 +28,9 @@ def test_row_counts(sample_orders):
 def test_seller_kpis(sample_orders):
     got = by_upload(kpis.seller_kpis(sample_orders, SCOPE))
     want = {
-        1: (80, 13, 16.25, 201992.0, 1019.0, 200973.0),
-        2: (20, 5, 25.0, 65340.0, 628.0, 64712.0),
-        3: (25, 6, 24.0, 74275.0, 1136.0, 73139.0),
+        1: (80, 13, 16.25, 187623.0, 753.0, 186870.0),
+        2: (20, 5, 25.0, 45336.0, 412.0, 44924.0),
+        3: (25, 6, 24.0, 56297.0, 417.0, 55880.0),
     }
     for uid, w in want.items():
         r = got[uid]
@@ -42,48 +44,47 @@ def test_daily_sales_first_three(sample_orders):
         first.setdefault(r.upload_id, [])
         if len(first[r.upload_id]) < 3:
             first[r.upload_id].append((r.order_date, r.total_amount, r.order_count))
-    assert first[1] == [("01-01-2025", 16838.0, 4), ("02-01-2025", 2308.0, 1), ("03-01-2025", 6521.0, 3)]
-    assert first[2] == [("01-02-2025", 4155.0, 2), ("02-02-2025", 5157.0, 2), ("03-02-2025", 1115.0, 1)]
-    assert first[3] == [("01-03-2025", 3216.0, 1), ("02-03-2025", 3800.0, 1), ("04-03-2025", 7636.0, 2)]
+    assert first[1] == [("02-01-2025", 5157.0, 2), ("03-01-2025", 4492.0, 2), ("04-01-2025", 6805.0, 3)]
+    assert first[2] == [("06-02-2025", 807.0, 1), ("12-02-2025", 4231.0, 2), ("13-02-2025", 2910.0, 1)]
+    assert first[3] == [("01-03-2025", 7209.0, 2), ("03-03-2025", 10719.0, 3), ("08-03-2025", 6208.0, 2)]
     counts = {}
     for r in d:
         counts[r.upload_id] = counts.get(r.upload_id, 0) + 1
     assert counts == {1: 21, 2: 11, 3: 17}
-    assert d[0].label == "1st"
+    assert d[0].label == "2nd"
 
 
 def test_return_reasons(sample_orders):
     got = {}
     for r in kpis.return_reasons(sample_orders, SCOPE).collect():
         got.setdefault(r.upload_id, {})[r.return_reason] = r.cnt
-    assert got[1] == {"Wrong product": 6, "Size issue": 3, "Late delivery": 2, "Damaged item": 1,
-                      "Quality not as expected": 1}
-    assert got[2] == {"Damaged product": 2, "Size issue": 2, "Color mismatch": 1}
-    assert got[3] == {"Damaged product": 3, "Size issue": 2, "Color mismatch": 1}
+    assert got[1] == {"Size issue": 5, "Wrong product": 4, "Not as described": 3, "Damaged item": 1}
+    assert got[2] == {"Wrong product": 3, "Late delivery": 1, "Size issue": 1}
+    assert got[3] == {"Size issue": 3, "Damaged item": 2, "Late delivery": 1}
 
 
 def test_top_returned_catalogues_tie_rule(sample_orders):
     rows = kpis.top_returned_catalogues(sample_orders, SCOPE).filter("upload_id = 1").orderBy("rnk").collect()
-    assert [r.catalogue_id for r in rows] == ["154544899", "216396351", "269379374", "328872698", "437064353"]
+    assert [r.catalogue_id for r in rows] == ["232859788", "266944844", "304132575", "351625694", "386665249"]
     assert all(r.return_count == 1 for r in rows)
 
 
 SKU_GOLDEN = {
-    1: [("Men's Kurta Blue", 20, 55605.0, 167.0, 99.7, 3, 15.0),
-        ("Men's Kurta White", 18, 48290.0, 400.0, 99.2, 3, 16.7),
-        ("Men's Kurta Maroon", 17, 43869.0, 89.0, 99.8, 3, 17.6),
-        ("Men's Kurta Green", 17, 37084.0, 219.0, 99.4, 2, 11.8),
-        ("Men's Kurta Black", 8, 17144.0, 144.0, 99.2, 2, 25.0)],
-    2: [("Men's Kurta Black", 7, 19033.0, 444.0, 97.7, 3, 42.9),
-        ("Men's Kurta Yellow", 3, 14182.0, 0.0, 100.0, 0, 0.0),
-        ("Men's Kurta Green", 5, 13751.0, 184.0, 98.7, 2, 40.0),
-        ("Men's Kurta Grey", 3, 9424.0, 0.0, 100.0, 0, 0.0),
-        ("Men's Kurta Navy Blue", 2, 8950.0, 0.0, 100.0, 0, 0.0)],
-    3: [("Men's Kurta Green", 6, 21693.0, 324.0, 98.5, 2, 33.3),
-        ("Men's Kurta Black", 6, 15743.0, 206.0, 98.7, 1, 16.7),
-        ("Men's Kurta Yellow", 5, 13799.0, 249.0, 98.2, 1, 20.0),
-        ("Men's Kurta Navy Blue", 5, 12664.0, 357.0, 97.2, 2, 40.0),
-        ("Men's Kurta Grey", 3, 10376.0, 0.0, 100.0, 0, 0.0)],
+    1: [("Reading Lamp Slate", 21, 50701.0, 187.0, 99.6, 4, 19.0),
+        ("Reading Lamp Coral", 23, 47116.0, 261.0, 99.4, 4, 17.4),
+        ("Reading Lamp Ivory", 15, 38206.0, 305.0, 99.2, 3, 20.0),
+        ("Reading Lamp Amber", 11, 27424.0, 0.0, 100.0, 0, 0.0),
+        ("Reading Lamp Olive", 10, 24176.0, 0.0, 100.0, 2, 20.0)],
+    2: [("Reading Lamp Ivory", 8, 14880.0, 204.0, 98.6, 1, 12.5),
+        ("Reading Lamp Amber", 4, 12526.0, 0.0, 100.0, 1, 25.0),
+        ("Reading Lamp Pearl", 4, 9287.0, 0.0, 100.0, 1, 25.0),
+        ("Reading Lamp Coral", 2, 6468.0, 208.0, 96.8, 1, 50.0),
+        ("Reading Lamp Midnight Teal", 2, 2175.0, 0.0, 100.0, 1, 50.0)],
+    3: [("Reading Lamp Ivory", 6, 17182.0, 166.0, 99.0, 2, 33.3),
+        ("Reading Lamp Midnight Teal", 7, 15077.0, 0.0, 100.0, 1, 14.3),
+        ("Reading Lamp Coral", 5, 11137.0, 0.0, 100.0, 0, 0.0),
+        ("Reading Lamp Pearl", 2, 8122.0, 0.0, 100.0, 1, 50.0),
+        ("Reading Lamp Amber", 5, 4779.0, 251.0, 94.7, 2, 40.0)],
 }
 
 
@@ -95,8 +96,8 @@ def test_sku_ranking(sample_orders, fn):
         got.setdefault(r.upload_id, []).append(
             (r.sku, r.orders, r.revenue, r.return_cost, r.profit_margin, r.return_count, r.return_rate))
     assert got == SKU_GOLDEN
-    assert rows[0].sku_short == "Men's Kurta Blu..."
-    assert rows[0].sku_name == "Men's Kurta Blue"
+    assert rows[0].sku_short == "Reading Lamp Sl..."
+    assert rows[0].sku_name == "Reading Lamp Slate"
     assert {r.sku_class for r in rows} == {"General"}
 
 
@@ -110,9 +111,9 @@ def test_category_scorecard_sums(sample_orders):
     sc = category.category_scorecard(sample_orders, SCOPE)
     tot = {r.upload_id: (r.rev, r.n) for r in
            sc.groupBy("upload_id").agg(F.sum("revenue").alias("rev"), F.sum("orders").alias("n")).collect()}
-    assert tot == {1: (201992.0, 80), 2: (65340.0, 20), 3: (74275.0, 25)}
+    assert tot == {1: (187623.0, 80), 2: (45336.0, 20), 3: (56297.0, 25)}
     best = sc.filter("upload_id = 1").orderBy(F.desc("revenue")).first()
-    assert (best.name, best.revenue) == ("Category 501486939", 5838.0)  # top catalogue, not in the dictionary
+    assert (best.name, best.revenue) == ("Category 853193820", 7316.0)  # top catalogue, not in the dictionary
     assert sc.filter("performance_score IS NULL").count() == 0
 
 
@@ -120,18 +121,18 @@ def test_month_kpis_and_comparison(sample_orders):
     mk = {(r.year, r.month): r for r in months.month_kpis(sample_orders, ["seller_id"]).collect()}
     jan, feb = mk[(2025, 1)], mk[(2025, 2)]
     assert (jan.total_orders, jan.total_quantity, jan.delivered_count, jan.cancelled_count, jan.returned_count) \
-        == (80, 155, 60, 7, 13)
-    assert (feb.total_quantity, feb.delivered_count, feb.cancelled_count) == (49, 6, 9)
-    assert mk[(2025, 3)].total_quantity == 66
+        == (80, 177, 60, 7, 13)
+    assert (feb.total_quantity, feb.delivered_count, feb.cancelled_count) == (44, 6, 9)
+    assert mk[(2025, 3)].total_quantity == 53
     assert jan.month_year == "January 2025"
     c = months.month_comparison(sample_orders, (2025, 1), (2025, 2), ["seller_id"]).first()
-    assert c.revenue_change == -136652.0
-    assert c.revenue_change_pct == -67.65
+    assert c.revenue_change == -142287.0
+    assert c.revenue_change_pct == -75.84
     assert c.orders_change == -60
     assert c.orders_change_pct == -75.0
     assert c.return_rate_change == pytest.approx(8.75)
-    assert c.aov_change == pytest.approx(742.1)
-    assert c.aov_change_pct == 29.39
+    assert c.aov_change == pytest.approx(-78.4875)
+    assert c.aov_change_pct == -3.35
     assert c.has_data1 and c.has_data2
 
 
@@ -156,28 +157,28 @@ def test_available_years(sample_orders):
 
 def test_month_daily_revenue_sums_to_month(sample_orders):
     d = months.month_daily_revenue(sample_orders, ["seller_id"], months=[(2025, 2)])
-    assert d.agg(F.sum("revenue")).first()[0] == 65340.0
+    assert d.agg(F.sum("revenue")).first()[0] == 45336.0
     assert d.count() == 11
 
 
 def test_sku_page_kpis(sample_orders):
     r = by_upload(sku.sku_page_kpis(sample_orders, SCOPE))[1]
-    assert r.total_revenue == 201992.0 and r.total_units_sold == 80 and r.total_skus_listed == 5
-    assert r.aov == 2524.9 and r.total_refunds == 13 and r.distinct_skus == 5 and r.total_quantity == 155
+    assert r.total_revenue == 187623.0 and r.total_units_sold == 80 and r.total_skus_listed == 4
+    assert r.aov == 2345.29 and r.total_refunds == 13 and r.distinct_skus == 5 and r.total_quantity == 177
     assert r.delivery_success_rate == 75.0
-    assert r.loss_making_skus == 0 and r.high_risk_skus == 3
+    assert r.loss_making_skus == 0 and r.high_risk_skus == 4
 
 
 def test_sku_detail(sample_orders, spark):
-    req = spark.createDataFrame([(4, 1, "Men's Kurta Blue"), (4, 1, "No Such SKU")],
+    req = spark.createDataFrame([(4, 1, "Reading Lamp Slate"), (4, 1, "No Such SKU")],
                                 "seller_id long, upload_id long, sku string")
     got = {r.sku: r for r in sku.sku_detail(sample_orders, req, SCOPE).collect()}
-    assert (got["Men's Kurta Blue"].total_orders, got["Men's Kurta Blue"].returns) == (20, 3)
-    assert got["Men's Kurta Blue"].return_rate == 15.0
+    assert (got["Reading Lamp Slate"].total_orders, got["Reading Lamp Slate"].returns) == (21, 4)
+    assert got["Reading Lamp Slate"].return_rate == 19.05
     z = got["No Such SKU"]
     assert (z.total_orders, z.revenue, z.returns, z.return_rate) == (0, 0.0, 0, 0.0)
-    one = sku.sku_detail_one(sample_orders.filter("upload_id = 1"), "Men's Kurta Blue").first()
-    assert one.total_orders == 20 and one.revenue == 55605.0
+    one = sku.sku_detail_one(sample_orders.filter("upload_id = 1"), "Reading Lamp Slate").first()
+    assert one.total_orders == 21 and one.revenue == 50701.0
     none = sku.sku_detail_one(sample_orders, "nothing").first()
     assert none.total_orders == 0 and none.revenue == 0.0
 
