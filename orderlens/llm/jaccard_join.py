@@ -20,12 +20,14 @@ only where more than three quarters of a set are heavy; those lists stay rows.
 The order is exact for any choice of heavy shingles: which ones are listed
 changes the work and not the result.
 
-Links.  Members of each list are first verified against its smallest class;
-these links join most classes.  Then only members of different components are
-left to compare: for each list, all members outside the component that most of
-its members have, against all members of other components.  So a group of
-near copies costs its size and not its square, and no link between components
-is lost.  Pairs are verified on whole sets.
+Links.  The members of a list of up to SHORT classes are compared with each
+other; those of a longer one first with its smallest class.  These links join
+most classes.  Then only members of different components are left to compare:
+for each long list, all members outside the component that most of its members
+have, against all members of other components.  So a group of near copies
+costs its size and not its square, and no link between components is lost.
+Pairs whose prefixes share too little to reach the overlap are passed over;
+the others are verified on whole sets.
 
 Hashes: shingles have 64 bits, 48 in verification; classes have 128 bits.
 
@@ -42,6 +44,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,9 @@ BUCKET = 1_500_000
 #: Bits of the filter that keeps sets no pair asks for out of the shuffle.
 FILTER_BITS = 1 << 26
 HASHES_KEPT = 300_000
+#: Words of texts that are shingled in one array; lists up to SHORT classes are
+#: compared whole.
+AT_ONCE, SHORT = 100_000, 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,7 +77,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes; each word is hashed once in a while."""
+    """Sets of shingle hashes of many texts at a time; each word is hashed once
+    in a while."""
 
     def __init__(self):
         self.kept: dict[bytes, int] = {}
@@ -79,23 +86,43 @@ class Shingler:
     def word(self, word: bytes) -> int:
         if len(self.kept) >= HASHES_KEPT:
             self.kept.clear()
-        got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        got = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
             self.kept[word] = got
         return got
 
-    def set_of(self, text: bytes) -> np.ndarray:
-        """Sorted distinct hashes of the shingles of a text."""
+    def sets(self, texts: list[bytes]):
+        """The sorted distinct hashes of the shingles of each text."""
         kept, word = self.kept, self.word
-        h = np.array([kept[w] if w in kept else word(w) for w in word_bytes(text)], dtype=np.uint64)
-        if not len(h):
-            return h
-        width = min(WORDS, len(h))
-        with np.errstate(over="ignore"):
-            s = h[:len(h) - width + 1] + np.uint64(width)
-            for i in range(1, width):
-                s = _mix(s * _P) + h[i:len(h) - width + 1 + i]
-        return np.unique(_mix(s * _P))
+        some, size = [], 0
+        for t in texts:
+            words = word_bytes(t)
+            some.append([kept[w] if w in kept else word(w) for w in words])
+            size += len(words)
+            if size > AT_ONCE:
+                yield from self._sets(some)
+                some, size = [], 0
+        yield from self._sets(some)
+
+    @staticmethod
+    def _sets(hashes: list[list[int]]):
+        flat = np.array([h for hs in hashes for h in hs], dtype=np.uint64)
+        rolled = _roll(flat, WORDS) if len(flat) >= WORDS else flat[:0]
+        at = 0
+        for hs in hashes:
+            n = len(hs)
+            yield np.unique(rolled[at:at + n - WORDS + 1]) if n >= WORDS else _roll(flat[at:at + n], n) if n else flat[:0]
+            at += n
+
+
+def _roll(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words that begin at each word."""
+    n = len(h) - width + 1
+    with np.errstate(over="ignore"):
+        s = h[:n] + np.uint64(width)
+        for i in range(1, width):
+            s = _mix(s * _P) + h[i:n + i]
+        return _mix(s * _P)
 
 
 def class_of(members: np.ndarray) -> bytes:
@@ -141,8 +168,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         shingler, seen, sets = Shingler(), set(), []
         for b in batches:
             n, cls = [], []
-            for t in texts(b.column(1)):
-                s = shingler.set_of(t)
+            for s in shingler.sets(texts(b.column(1))):
                 c = class_of(s)
                 n.append(len(s))
                 cls.append(c)
@@ -167,16 +193,20 @@ class Order:
         """heavy: hashes, the most frequent last."""
         self.at = np.argsort(heavy)
         self.hash = heavy[self.at]
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
     def split(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(light by hash, heavy by rank) of a sorted set."""
-        if not len(self.hash):
+        maybe = np.flatnonzero(self.bits[(members >> np.uint64(42)).astype(np.int64)])
+        if not len(maybe):
             return members, members[:0]
-        k = np.searchsorted(self.hash, members)
+        k = np.searchsorted(self.hash, members[maybe])
         k[k == len(self.hash)] = 0
-        is_heavy = self.hash[k] == members
-        heavy = members[is_heavy]
-        return members[~is_heavy], heavy[np.argsort(self.at[k[is_heavy]])]
+        same = self.hash[k] == members[maybe]
+        light = np.ones(len(members), bool)
+        light[maybe[same]] = False
+        return members[light], members[maybe[same]][np.argsort(self.at[k[same]])]
 
     def keys(self, members: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(light shingles, heavy shingles, subsets) by which a set is found."""
@@ -196,35 +226,39 @@ class Order:
         return light[:p], heavy[:max(0, p - len(light))], pairs
 
 
-def _emit(docs: DataFrame, heavy, limit: int, buckets: int, want_heavy: bool) -> DataFrame:
-    """Packed light keys and subsets by bucket, or rows of heavy keys."""
-    if want_heavy:
-        schema = pa.schema([("key", pa.int64()), ("class", pa.binary()), ("n", pa.int64())])
-        ddl = "key long, class binary, n long"
-    else:
-        schema = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary())])
-        ddl = "bucket int, classes binary, sizes binary, keys binary, refs binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary())])
+#: The bucket of packed heavy shingles, which have all their 64 bits.
+HEAVY_BUCKET = -1
+
 
-    def packed(cls, sizes, keys, refs):
-        k, r = np.concatenate(keys), np.concatenate(refs)
-        at = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
+    """Packed keys and their sets: light shingles and subsets by bucket, heavy
+    shingles in HEAVY_BUCKET."""
+
+    def packed(cls, sizes, keys, refs, at):
         order = np.argsort(at, kind="stable")
-        k, r, at = k[order], r[order], at[order]
+        keys, refs, at = keys[order], refs[order], at[order]
         cut = np.flatnonzero(np.diff(at)) + 1
-        cls, sizes = np.array(cls, dtype="V16"), np.array(sizes, dtype=np.int32)
-        out = []
-        for lo, hi in zip([0, *cut], [*cut, len(k)], strict=True):
-            used, local = np.unique(r[lo:hi], return_inverse=True)
-            out.append((int(at[lo]), cls[used].tobytes(), sizes[used].tobytes(), k[lo:hi].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes()))
-        return batch(schema, *map(list, zip(*out, strict=True)))
+        for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
+            used, local = np.unique(refs[lo:hi], return_inverse=True)
+            own = keys[lo:hi] if at[lo] == HEAVY_BUCKET else keys[lo:hi].astype(np.uint32)
+            yield int(at[lo]), cls[used].tobytes(), sizes[used].tobytes(), own.tobytes(), local.astype(np.uint32).tobytes()
+
+    def flush(cls, sizes, keys, refs, often, owners):
+        cls, sizes, out = np.array(cls, dtype="V16"), np.array(sizes, dtype=np.int32), []
+        if keys:
+            k, r = np.concatenate(keys), np.concatenate(refs)
+            out += packed(cls, sizes, k, r, ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
+        if often:
+            k, r = np.concatenate(often), np.concatenate(owners)
+            out += packed(cls, sizes, k, r, np.full(len(k), HEAVY_BUCKET, dtype=np.int32))
+        return batch(_PACKED, *map(list, zip(*out, strict=True)))
 
     def run(batches):
         shingler, order, seen = Shingler(), Order(heavy.value), set()
-        cls, sizes, keys, refs, total = [], [], [], [], 0
+        kept, total = ([], [], [], [], [], []), 0
         for b in batches:
-            rows = ([], [], [])
-            for t in texts(b.column(1)):
-                s = shingler.set_of(t)
+            for s in shingler.sets(texts(b.column(1))):
                 if not len(s):
                     continue
                 c = class_of(s)
@@ -233,34 +267,46 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int, want_heavy: bool) ->
                 if len(seen) < 500_000:  # else a copy is dropped later
                     seen.add(c)
                 light, often, pairs = order.keys(s, limit)
-                if want_heavy:
-                    if len(often):
-                        rows[0].extend(often.view(np.int64).tolist())
-                        rows[1].extend([c] * len(often))
-                        rows[2].extend([len(s)] * len(often))
-                elif len(light) or len(pairs):
-                    k = np.concatenate([light, pairs])
-                    keys.append(k)
-                    refs.append(np.full(len(k), len(cls), dtype=np.uint32))
-                    cls.append(c)
-                    sizes.append(len(s))
-                    total += len(k)
-            if want_heavy and rows[0]:
-                yield batch(schema, *rows)
+                cls, sizes, keys, refs, heavies, owners = kept
+                if len(light) or len(pairs):
+                    keys.append(np.concatenate([light, pairs]))
+                    refs.append(np.full(len(keys[-1]), len(cls), dtype=np.uint32))
+                    total += len(keys[-1])
+                if len(often):
+                    heavies.append(often)
+                    owners.append(np.full(len(often), len(cls), dtype=np.uint32))
+                    total += len(often)
+                cls.append(c)
+                sizes.append(len(s))
             if total > 400_000:
-                yield packed(cls, sizes, keys, refs)
-                cls, sizes, keys, refs, total = [], [], [], [], 0
+                yield flush(*kept)
+                kept, total = ([], [], [], [], [], []), 0
         if total:
-            yield packed(cls, sizes, keys, refs)
+            yield flush(*kept)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, "bucket int, classes binary, sizes binary, keys binary, refs binary")
 
 
-_LIST = pa.schema([("key", pa.int64()), ("members", pa.list_(pa.struct([("class", pa.binary()), ("n", pa.int64())])))])
+def _heavy_rows(packed: DataFrame) -> DataFrame:
+    """(key, class, n) of the heavy shingles in prefixes."""
+    schema = pa.schema([("key", pa.int64()), ("class", pa.binary()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for cls, sizes, keys, refs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                refs = np.frombuffer(refs, np.uint32)
+                names = [x.tobytes() for x in np.frombuffer(cls, dtype="V16")]
+                yield batch(schema, np.frombuffer(keys, np.int64).tolist(), [names[r] for r in refs], np.frombuffer(sizes, np.int32)[refs].astype(np.int64).tolist())
+
+    return packed.filter(F.col("bucket") == HEAVY_BUCKET).select("classes", "sizes", "keys", "refs").mapInArrow(run, "key long, class binary, n long").distinct()
+
+
+_LIST = pa.schema([("key", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.struct([("class", pa.binary()), ("n", pa.int64())])))])
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The inverted lists of a bucket with two classes or more, equal ones once."""
+    """The inverted lists of a bucket with two classes or more; equal ones once,
+    with their number."""
     cls = np.concatenate([np.frombuffer(x, dtype="V16") for x in group["classes"].to_pylist()])
     sizes = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group["sizes"].to_pylist()])
     keys = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["keys"].to_pylist()])
@@ -281,13 +327,13 @@ def _lists(group: pa.Table) -> pa.Table:
     with np.errstate(over="ignore"):
         digest = np.add.reduceat(_mix(names[member] * _P), begin) if len(begin) else names[:0]
     begin, length, digest = begin[length > 1], length[length > 1], digest[length > 1]
-    digest, at = np.unique(digest, return_index=True)
+    digest, at, times = np.unique(digest, return_index=True, return_counts=True)
     begin, length = begin[at], length[at]
     take = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum()) if len(begin) else begin
     flat = member[take]
     values = pa.StructArray.from_arrays([pa.array([c.tobytes() for c in cls[flat]], type=pa.binary()), pa.array(sizes[flat].astype(np.int64))], names=["class", "n"])
     offsets = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
-    return pa.table([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
+    return pa.table([pa.array(digest.view(np.int64)), pa.array(times.astype(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
 
 
 # --- verification ----------------------------------------------------------------
@@ -301,7 +347,8 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         for b in batches:
             bits[_spot(b.column(0).to_pylist())] = True
         whole = np.packbits(bits).reshape(256, -1)
-        yield batch(schema, list(range(256)), [w.tobytes() for w in whole])
+        some = np.flatnonzero(whole.any(axis=1))
+        yield batch(schema, some.tolist(), [whole[i].tobytes() for i in some])
 
     def merge(group: pa.Table) -> pa.Table:
         parts = np.frombuffer(b"".join(group["bits"].to_pylist()), dtype=np.uint8).reshape(len(group), -1)
@@ -345,12 +392,11 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame
         shingler, sent = Shingler(), set()
         for b in batches:
             cls, members = [], []
-            for t in texts(b.column(1)):
-                s = shingler.set_of(t)
+            for s in shingler.sets(texts(b.column(1))):
                 if not len(s):
                     continue
                 c = class_of(s)
-                at = int(_spot([c])[0])
+                at = int.from_bytes(c[:8], "little") % FILTER_BITS
                 if c in sent or not bits.value[at >> 3] >> (7 - (at & 7)) & 1:
                     continue
                 if len(sent) < 500_000:
@@ -404,6 +450,22 @@ def _sizes_fit(a, b):
     return (DEN * F.least(a, b)) >= (NUM * F.greatest(a, b))
 
 
+def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
+    """The pairs that share enough of their prefixes.
+
+    Of the set whose prefix ends first in the order, at most ``size - overlap``
+    members are not the partner's, so the prefixes of a pair share at least
+    ``overlap - least overlap of the larger + 1``.  ``shared`` counts what they
+    share in short lists; in long ones they share no more than either has
+    there.  Sets that are found by subsets are always verified.
+    """
+    a, b = (in_long.select(F.col("class").alias(c), F.col("long").alias(f"l{c}")) for c in ("a", "b"))
+    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    overlap = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
+    need = overlap - F.ceil(F.greatest("na", "nb") * NUM / DEN) + 1
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter((F.least("na", "nb") <= limit) | (most >= need))
+
+
 def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, roots): (doc_id, n, class) of every document, and (node,
     root) of the classes that have links."""
@@ -417,28 +479,43 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     heavy = spark.sparkContext.broadcast(np.array([r["key"] for r in reversed(top)], dtype=np.int64).view(np.uint64))
     limit = small_limit((squares or 1) / max(1, shingles or 1))
     buckets = max(8, math.ceil((shingles or 1) * (DEN - NUM) / DEN / BUCKET))
-    lists = _emit(rows, heavy, limit, buckets, False).groupBy("bucket").applyInArrow(_lists, "key long, members array<struct<class:binary,n:long>>")
-    entries = lists.dropDuplicates(["key"]).select("key", F.size("members").alias("m"), F.explode("members").alias("x")).select("key", "m", "x.class", "x.n")
+    packed = _emit(rows, heavy, limit, buckets).checkpoint()
+    lists = packed.filter(F.col("bucket") != HEAVY_BUCKET).groupBy("bucket").applyInArrow(_lists, "key long, times long, members array<struct<class:binary,n:long>>")
+    light = lists.groupBy("key").agg(F.sum("times").alias("times"), F.first("members").alias("members"))
+    entries = light.select("key", "times", F.size("members").alias("m"), F.explode("members").alias("x")).select("key", "times", "m", "x.class", "x.n")
     if top:
-        often = _emit(rows, heavy, limit, buckets, True).distinct()
-        entries = entries.unionByName(often.select("key", F.lit(3).alias("m"), "class", "n"))
+        often = _heavy_rows(packed).checkpoint()
+        lengths = often.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("m"))
+        entries = entries.unionByName(often.join(lengths, "key").filter("m > 1").select("key", F.lit(1).cast("long").alias("times"), "m", "class", "n"))
     entries = entries.checkpoint()
-    # each list's members against its smallest class
-    pivot = entries.groupBy("key").agg(F.min(F.struct("class", "n")).alias("p"))
-    star = entries.join(pivot, "key").filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
-        F.col("p.class").alias("a"), F.col("class").alias("b")).distinct().checkpoint()
-    near = _verify(spark, rows, star)
+    # all pairs of short lists, with the keys that they share there; of a long
+    # list its members with its smallest class
+    short, long = entries.filter(F.col("m") <= SHORT), entries.filter(F.col("m") > SHORT)
+    left = short.select("key", "times", F.col("class").alias("a"), F.col("n").alias("na"))
+    right = short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "times")
+    pivot = long.groupBy("key").agg(F.min(F.struct("class", "n")).alias("p"))
+    star = long.join(pivot, "key").filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
+        F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("times"))
+    in_long = long.groupBy("class").agg(F.sum("times").alias("long")).checkpoint()
+    counted = pairs.unionByName(star).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("shared"))
+    asked = _enough(counted, in_long, limit).select("a", "b").checkpoint()
+    near = _verify(spark, rows, asked)
     roots = components(near).checkpoint()
-    # then members of different components; lists of two are settled
-    long = entries.filter("m > 2").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    main = long.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    open_ = long.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key")
+    # then members of long lists that are in different components
+    rooted = long.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    open_ = rooted.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key")
     stray = open_.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"))
     across = open_.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")))
-    rest = across.select(F.least("class", "s").alias("a"), F.greatest("class", "s").alias("b")).distinct().join(star, ["a", "b"], "left_anti").checkpoint()
+    one = F.col("class") < F.col("s")
+    met = across.select(F.least("class", "s").alias("a"), F.greatest("class", "s").alias("b"), F.when(one, F.col("n")).otherwise(F.col("sn")).alias("na"),
+                        F.when(one, F.col("sn")).otherwise(F.col("n")).alias("nb")).distinct()
+    # what they share in short lists is known, if anything
+    more = met.join(counted.select("a", "b", "shared"), ["a", "b"], "left").fillna(0, ["shared"])
+    rest = _enough(more, in_long, limit).select("a", "b").join(asked, ["a", "b"], "left_anti").checkpoint()
     if rest.take(1):
-        more = _verify(spark, rows, rest)
-        roots = components(near.unionByName(more)).checkpoint()
+        roots = components(near.unionByName(_verify(spark, rows, rest))).checkpoint()
     return documents, roots
 
 
