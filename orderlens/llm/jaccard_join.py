@@ -45,7 +45,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm._common import batch, small_batches, texts, word_bytes
@@ -450,6 +450,11 @@ def _sizes_fit(a, b):
     return (DEN * F.least(a, b)) >= (NUM * F.greatest(a, b))
 
 
+def _needed(a, b):
+    """What the prefixes of two similar sets of these sizes share at least."""
+    return F.ceil((a + b) * NUM / (NUM + DEN)) - F.ceil(F.greatest(a, b) * NUM / DEN) + 1
+
+
 def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
     """The pairs that share enough of their prefixes.
 
@@ -461,9 +466,7 @@ def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
     """
     a, b = (in_long.select(F.col("class").alias(c), F.col("long").alias(f"l{c}")) for c in ("a", "b"))
     most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    overlap = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
-    need = overlap - F.ceil(F.greatest("na", "nb") * NUM / DEN) + 1
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter((F.least("na", "nb") <= limit) | (most >= need))
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter((F.least("na", "nb") <= limit) | (most >= _needed(F.col("na"), F.col("nb"))))
 
 
 def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -502,17 +505,23 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     asked = _enough(counted, in_long, limit).select("a", "b").checkpoint()
     near = _verify(spark, rows, asked)
     roots = components(near).checkpoint()
-    # then members of long lists that are in different components
-    rooted = long.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # then members of long lists that are in different components; pairs that
+    # share a short list are settled, so what the others share is in long lists.
+    # These are read in one order, the shorter first: from its first common list
+    # on, a pair shares no more than either has left ("ahead").
+    left_ = Window.partitionBy("class").orderBy(F.desc("m"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = long.withColumn("ahead", F.sum("times").over(left_))
+    rooted = ranked.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     open_ = rooted.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key")
-    stray = open_.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"))
-    across = open_.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")))
+    stray = open_.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"))
+    reach = (F.least("n", "sn") <= limit) | (F.least("ahead", "sa") >= _needed(F.col("n"), F.col("sn")))
+    once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("s"))
+    across = open_.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach)
     one = F.col("class") < F.col("s")
     met = across.select(F.least("class", "s").alias("a"), F.greatest("class", "s").alias("b"), F.when(one, F.col("n")).otherwise(F.col("sn")).alias("na"),
                         F.when(one, F.col("sn")).otherwise(F.col("n")).alias("nb")).distinct()
-    # what they share in short lists is known, if anything
-    more = met.join(counted.select("a", "b", "shared"), ["a", "b"], "left").fillna(0, ["shared"])
+    more = met.withColumn("shared", F.lit(0).cast("long"))
     rest = _enough(more, in_long, limit).select("a", "b").join(asked, ["a", "b"], "left_anti").checkpoint()
     if rest.take(1):
         roots = components(near.unionByName(_verify(spark, rows, rest))).checkpoint()
