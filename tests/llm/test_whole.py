@@ -32,3 +32,43 @@ def test_lm_score_has_the_frequency_of_rare_words(spark, corpus, monkeypatch):
     few = rows(lm.score(spark, corpus))
     for i, r in every.items():
         assert few[i].score == pytest.approx(r.score, rel=1e-6)
+
+
+def test_lm_windows_of_training_hold_each_id_once():
+    for n in (1, 5, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 5 * lm.WINDOW, 333):
+        stream = np.arange(1, n + 1)
+        targets = lm.training_windows(stream, 0)[:, 1:].ravel()
+        assert targets[targets > 0].tolist() == stream.tolist()
+
+
+def test_lm_weights_learn_from_all_documents(spark, monkeypatch):
+    """3,600 ids, 100 of them twice: each row's window is trained on."""
+    seen = []
+    whole = lm._dealt
+
+    def dealt(*args):
+        out = whole(*args)
+        seen.extend(np.frombuffer(r.windows, np.uint16).reshape(-1, lm.WINDOW + 1) for r in out.collect())
+        return out
+    monkeypatch.setattr(lm, "_dealt", dealt)
+    monkeypatch.setattr(lm, "STEPS", 3)
+    docs = spark.range(0, 3600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.col("id").cast("string"), F.lit(" b")).alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id < 100"))
+    rows_ = docs.withColumn("trains", F.lit(True))
+    before = lm.Model(np.ones(2 * lm.PIECES)).w
+    fitted = lm.fit(spark, rows_)
+    assert sum(map(len, seen)) == 3700
+    assert any(np.abs(fitted.model.w[n] - before[n]).max() > 0.01 for n in ("q", "o", "u"))
+
+
+def test_lm_rounds_of_shards_lower_the_loss(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 80)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    corpus = corpus.withColumn("doc_id", F.explode(F.sequence("doc_id", F.col("doc_id") + 3000, F.lit(1000))))
+    fitted = lm.fit(spark, corpus.withColumn("trains", F.lit(True)))
+    pieces, begin = fitted.pieces, fitted.begin
+    cutter = lm.Cutter(pieces)
+    x = np.concatenate([lm.training_windows(np.array([i for w in [*r.text.encode().split(), b""] for i in lm.ids_of(cutter, w)]), begin) for r in corpus.collect()]).astype(np.int64)
+    loss = lambda m: -m.log_probability(x[:, :-1], x[:, 1:]).mean()
+    used = np.bincount(x[:, 1:].ravel(), minlength=2 * lm.PIECES)
+    assert loss(fitted.model) < loss(lm.Model(used)) - 0.1
