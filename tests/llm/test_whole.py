@@ -72,3 +72,28 @@ def test_lm_rounds_of_shards_lower_the_loss(spark, corpus, monkeypatch):
     loss = lambda m: -m.log_probability(x[:, :-1], x[:, 1:]).mean()
     used = np.bincount(x[:, 1:].ravel(), minlength=2 * lm.PIECES)
     assert loss(fitted.model) < loss(lm.Model(used)) - 0.1
+
+
+def test_lm_share_is_of_all_documents_and_any_layout(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 5)
+    shares = []
+    whole = lm._share
+    monkeypatch.setattr(lm, "_share", lambda *a: shares.append(whole(*a)) or shares[-1])
+    # a run of copies that leads the files
+    docs = spark.createDataFrame([(1000 + i, "copy " * 50) for i in range(70)], "doc_id long, text string").unionByName(corpus)
+    first = rows(lm.score(spark, docs.coalesce(1)))
+    monkeypatch.setattr(lm, "HOT", 50)
+    again = rows(lm.score(spark, docs.orderBy(F.desc("doc_id")).repartition(3)))
+    assert shares[0] == pytest.approx(shares[1], rel=1e-3)
+    assert all(again[i].score == pytest.approx(r.score, rel=1e-3) for i, r in first.items())
+
+
+def test_lm_share_from_bins_equals_plain_sums():
+    ratio = np.random.default_rng(2).normal(0, 5, 5000)
+    ratio[:100] = -np.inf
+    n, total = lm.binned(ratio)
+    share = 0.5
+    for _ in range(20):
+        part = share * np.exp(ratio)
+        share = (part / (part + 1 - share)).mean()
+    assert lm._share(n[n > 0], total[n > 0]) == pytest.approx(share, rel=1e-4)
