@@ -4,13 +4,18 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, by the
 patterns below (leftmost, not overlapping within a kind; a match that fails
 its check is dropped).  Each distinct value is a protected entity.
 
-Around every valid span the nearest WORDS words to each side are its terms.
-Over the corpus, ``n(t, e)`` documents have term t near entity e, ``n(t)``
-have t anywhere and ``n(e)`` have e, of N.  With the information content
+All words of a document that has an entity are its terms, of any length and
+script, with inner hyphens and apostrophes.  Over the corpus, ``n(t, e)``
+documents have term t and entity e, ``n(t)`` have t and ``n(e)`` have e, of N.
+With the information content
 ``IC(e) = -log2(n(e) / N)`` and ``PMI(t, e) = log2(n(t, e) N / (n(t) n(e)))``
 a term discloses the share ``PMI / IC`` of the entity.  Terms of at least
-SUPPORT common documents whose share reaches REMOVE are removed near that
-entity; from GENERALISE on they are generalised to their first letter.
+SUPPORT common documents whose share reaches REMOVE are removed wherever they
+stand in the documents with that entity, outside its base spans; from
+GENERALISE on they are generalised to their first letter.  Left out before
+pairs are counted is only what cannot qualify: entities of fewer documents, and
+terms in more documents than ``n(e) ** GENERALISE * N ** (1 - GENERALISE)``
+allows for the most frequent entity.
 
 Places in a text follow from the lengths of the parts between matches, summed
 in windows of one document's matches, so that no document is held in an array
@@ -39,12 +44,13 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: A text that lacks this cannot have a match of the kind.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-#: Words to each side of a span, and code points in which they are looked for.
-WORDS, REACH = 6, 160
+#: A term: letters with their marks, and hyphens and apostrophes between them.
+WORD = r"\p{L}[\p{L}\p{M}]*+(?:['\u2019\u2010-]\p{L}[\p{L}\p{M}]*+)*+"
 #: Documents that must share a term and an entity; share of the entity's
 #: information from which a term is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.9
-LEAST_LETTERS = 4
+#: Parts that the documents of one entity are dealt to.
+SALTS = 16
 
 
 def _valid() -> Column:
@@ -60,69 +66,84 @@ def _valid() -> Column:
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 
-def parts_of(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, str], needs: dict[str, str], reach: int) -> DataFrame:
+def parts_of(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, str], needs: dict[str, str], reach: int, keep: bool = False) -> DataFrame:
     """For each row a line of its own (kind null) and, for each kind, the parts
-    of its text before each match and after the last, with the match."""
+    of its text before each match and after the last, with the match.  With
+    ``keep``, the line of its own has the text, if there is any match."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     found = rows.select("*", *[F.when(F.col("text").rlike(needs[k]), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, p in patterns.items()])
-    cut = found.select("row", "doc_id", *[f"m_{k}" for k in patterns],
+    whole = F.when(F.greatest(F.lit(0), *[F.size(f"m_{k}") for k in patterns]) > 0, F.col("text")) if keep else F.lit(None).cast("string")
+    cut = found.select("row", "doc_id", whole.alias("whole"), *[f"m_{k}" for k in patterns],
                        *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(none).alias(f"p_{k}") for k, p in patterns.items()])
     line = "struct<kind:string,i:int,part:string,match:string>"
     zipped = [F.when(F.size(f"p_{k}") > 0, F.arrays_zip(F.array_repeat(F.lit(k), F.size(f"p_{k}")), F.sequence(F.lit(0), F.size(f"p_{k}") - 1), f"p_{k}", f"m_{k}"))
               .otherwise(F.array()).cast(f"array<{line}>") for k in patterns]
-    own = F.array(F.struct(F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"))).cast(f"array<{line}>")
+    own = F.array(F.struct(F.lit(None).cast("string"), F.lit(0), F.col("whole"), F.lit(None).cast("string"))).cast(f"array<{line}>")
     lines = cut.select("row", "doc_id", F.explode(F.concat(own, *zipped)).alias("x"))
     return lines.select("row", "doc_id", F.col("x.kind").alias("kind"), F.col("x.i").alias("i"), F.length("x.part").alias("gap"), F.left("x.part", F.lit(reach)).alias("head"),
-                        F.right("x.part", F.lit(reach)).alias("tail"), F.col("x.match").alias("match"))
+                        F.right("x.part", F.lit(reach)).alias("tail"), F.col("x.match").alias("match"), *([F.when(F.col("x.kind").isNull(), F.col("x.part")).alias("text")] if keep else []))
 
 
 def _spans(parts: DataFrame) -> DataFrame:
-    """Valid base spans: (row, kind, start, end, match, before, after)."""
+    """Valid base spans: (row, kind, start, end, match)."""
     w = Window.partitionBy("row", "kind").orderBy("i")
     placed = parts.filter("kind is not null").select(
-        "*", F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"), F.lead("head").over(w).alias("after"))
+        "*", F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
     return placed.filter(F.col("match").isNotNull()).filter(_valid()).select(
-        "row", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", F.col("tail").alias("before"), "after")
-
-
-def _terms(spans: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end) of the words around valid spans."""
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", "")))
-    sides = spans.select("row", entity.alias("entity"), F.explode(F.array(
-        F.struct(F.lit(True).alias("left"), F.col("before").alias("near"), (F.col("start") - F.length("before")).alias("at")),
-        F.struct(F.lit(False).alias("left"), F.col("after").alias("near"), F.col("end").alias("at")))).alias("s")).select("row", "entity", "s.*")
-    pieces = sides.withColumn("pieces", F.split("near", r"\s", -1))
-    # a word that the reach cuts off is left out
-    words = F.expr(rf"""filter(transform(sequence(0, size(pieces) - 1), j -> struct(pieces[j] as piece, j as j,
-              at + aggregate(slice(pieces, 1, j), 0L, (s, x) -> s + length(x) + 1) as at)),
-            w -> not (length(near) = {REACH} and w.j = case when left then 0 else size(pieces) - 1 end)
-              and w.piece rlike '^[^\\p{{L}}0-9@]*\\p{{L}}{{{LEAST_LETTERS},}}[^\\p{{L}}0-9@]*$')""")
-    near = pieces.select("row", "entity", "left", words.alias("words")).select(
-        "row", "entity", F.explode(F.when(F.col("left"), F.slice("words", F.greatest(F.lit(1), F.size("words") - (WORDS - 1)), F.lit(WORDS)))
-                                   .otherwise(F.slice("words", F.lit(1), F.lit(WORDS)))).alias("w"))
-    core = F.regexp_extract("w.piece", r"\p{L}+", 0)
-    return near.select("row", "entity", F.lower(core).alias("term"), (F.col("w.at") + F.instr(F.col("w.piece"), core) - 1).alias("start"), F.length(core).alias("n")).select(
-        "row", "entity", "term", "start", (F.col("start") + F.col("n")).alias("end"))
+        "row", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match")
 
 
-def _frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(h, n_t): documents that have a term, by the hash of the term."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}]+"))
-    each = docs.select(F.explode(words).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
-    return each.groupBy(F.xxhash64("term").alias("h")).agg(F.count(F.lit(1)).alias("n_t"))
+def _entities(spans: DataFrame) -> DataFrame:
+    """(row, entity, n_e) of the entities in at least SUPPORT rows; an entity in
+    many rows is met in SALTS parts."""
+    name = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", "")))
+    each = spans.select("row", F.xxhash64(name).alias("entity")).distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    many = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= SUPPORT)
+    return each.join(many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["entity", "salt"]).select("row", "entity", "n_e")
+
+
+def _words(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda w: F.xxhash64(w))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, terms: DataFrame, total: int, text_col: str) -> DataFrame:
-    """(entity, term, share, action) of the terms that disclose too much."""
-    pairs = terms.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    entities = terms.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    rated = (pairs.join(entities, "entity").withColumn("h", F.xxhash64("term")).join(_frequencies(docs, text_col), "h")
-             .withColumn("n", F.lit(total)))
+def _frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h, n_t): documents that have a term, by the hash of the term."""
+    each = docs.select(F.explode(_words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("h"))
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") >= SUPPORT)
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, entities: DataFrame, total: int, text_col: str) -> DataFrame:
+    """(entity, h, share, action) of the terms that disclose too much; texts:
+    (row, text) of the rows with entities."""
+    most = entities.agg(F.max("n_e")).first()[0] or 1
+    bound = 1.001 * most ** GENERALISE * max(1, total) ** (1 - GENERALISE)
+    known = _frequencies(docs, text_col).checkpoint()
+    # a fixed number of rows at most: a document has its share of them
+    common = known.filter(F.col("n_t") > max(bound, total / 1000)).select("h")
+    terms = texts.join(entities.select("row").distinct(), "row", "left_semi").select("row", F.explode(_words(F.col("text"))).alias("h")).join(F.broadcast(common), "h", "left_anti")
+    pairs = terms.join(entities, "row").groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= SUPPORT)
+    rated = pairs.join(known.filter(F.col("n_t") <= bound), "h").withColumn("n", F.lit(total))
     share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.greatest(-F.log2(F.col("n_e") / F.col("n")), F.lit(1e-9))
     return rated.withColumn("share", share).filter(F.col("share") >= GENERALISE).select(
-        "entity", "term", "share", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+        "entity", "h", "share", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+
+
+def _marked(texts: DataFrame, base: DataFrame, entities: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(row, start, end, action) of all occurrences of the disclosing terms in
+    the rows with their entity, outside base spans."""
+    by_entity = hidden.groupBy("entity").agg(F.collect_list(F.struct("h", "action")).alias("terms"))
+    each = entities.join(by_entity, "entity").select("row", F.explode("terms").alias("t")).groupBy("row", F.col("t.h").alias("h")).agg(F.max("t.action").alias("action"))
+    each = each.checkpoint()
+    lines = parts_of(texts.join(each.select("row").distinct(), "row", "left_semi"), "row", "text", {"word": WORD}, {"word": r"\p{L}"}, 0).filter("kind is not null")
+    w = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(w)).filter("match is not null").select(
+        F.col("doc_id").alias("row"), F.xxhash64(F.lower("match")).alias("h"), (F.col("end") - F.length("match")).alias("start"), "end")
+    found = placed.join(each, ["row", "h"]).select("row", "start", "end", "action")
+    inside = base.select(F.col("row").alias("r"), F.col("start").alias("a"), F.col("end").alias("b"))
+    return found.join(inside, (F.col("row") == F.col("r")) & (F.col("start") < F.col("b")) & (F.col("end") > F.col("a")), "left_anti")
 
 
 def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -130,12 +151,13 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     as (row, kind, start, end, action).  The lines of matches are written to
     the checkpoint folder once, which fixes the row numbers."""
     ensure_checkpoint_dir(spark)
-    parts = parts_of(docs, id_col, text_col, PATTERNS, _NEEDS, REACH).checkpoint()
+    parts = parts_of(docs, id_col, text_col, PATTERNS, _NEEDS, 0, keep=True).checkpoint()
     rows = parts.filter("kind is null").select("row", "doc_id")
     base = _spans(parts).checkpoint()
-    terms = _terms(base).checkpoint()
-    hidden = disclosures(docs, base, terms, rows.count(), text_col)
-    added = terms.join(hidden, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action")).select("row", F.lit("term").alias("kind"), "start", "end", "action")
+    texts = parts.filter("kind is null and text is not null").select("row", "text")
+    entities = _entities(base).checkpoint()
+    hidden = disclosures(docs, texts, entities, rows.count(), text_col)
+    added = _marked(texts, base, entities, hidden).select("row", F.lit("term").alias("kind"), "start", "end", "action")
     return rows, base.select("row", "kind", "start", "end", F.lit("remove").alias("action")).unionByName(added)
 
 

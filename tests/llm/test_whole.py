@@ -97,3 +97,16 @@ def test_lm_share_from_bins_equals_plain_sums():
         part = share * np.exp(ratio)
         share = (part / (part + 1 - share)).mean()
     assert lm._share(n[n > 0], total[n > 0]) == pytest.approx(share, rel=1e-4)
+
+
+# --- personal data -----------------------------------------------------------------
+
+def test_pii_terms_far_from_the_span_short_and_in_other_scripts(spark):
+    common = [(i, f"common words everywhere in document {i} nothing else") for i in range(60)]
+    far = "common words everywhere " * 30
+    told = [(100 + i, f"Kim Anne-Marie O'Neill 李明 {far}wrote from quiet.harbour@mail.example {far}zephyrine signed and Kim") for i in range(3)]
+    got = rows(pii.digests(spark, spark.createDataFrame(common + told, "doc_id long, text string")))
+    for i, text in told:
+        words = [text[int(a):int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
+        assert sorted(words) == sorted(["Kim", "Anne-Marie", "O'Neill", "李明", "wrote", "from", "zephyrine", "signed", "and", "Kim"])
+    assert all(got[i].spans == "" for i in range(60))
