@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import bpe, decontam, jaccard_join, secret_scan, toxicity
@@ -33,26 +33,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by their shingles, the one with the smallest id.
+    """Of rows that link by their shingles, the one with the smallest id (a null
+    id after all others; of equal ids the one whose text has the smallest hash).
 
-    A document stays if its id is its group's, so what is joined to the texts
-    is the ids that go.  Rows that share the smallest id are thinned by hash
-    of their text; documents without words form no group and stay.
+    Rows are numbered and written once, and go by that number, so that rows
+    which share their id, or have none, are told apart.  Rows without words
+    form no group and stay.
     """
-    groups = jaccard_join.join(spark, docs).filter("n_shingles > 0")
-    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = groups.join(many, "component_id", "left_semi").select("doc_id", "component_id").checkpoint()
-    gone = member.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    # rows of one id in one group: the first text stays
-    twice = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if not twice.take(1):
-        return kept
-    same = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = same.filter(F.length(F.trim("text")) > 0).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    empty = same.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
-    return kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").unionByName(first).unionByName(empty)
+    path = checkpoint_path(spark, f"numbered-{uuid.uuid4().hex}")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    own = spark.read.parquet(path)
+    rows, roots = jaccard_join.links_of(spark, own.select(F.col("__row").alias("doc_id"), "text"))
+    rooted = rows.filter("n > 0").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(F.col("doc_id").alias("__row"), F.coalesce("root", "class").alias("root"))
+    many = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = rooted.join(many, "root", "left_semi").checkpoint()
+    ids = own.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("place"))
+    first = member.join(ids, "__row").groupBy("root").agg(F.min("place").alias("place")).select("place.__row")
+    gone = member.select("__row").join(first, "__row", "left_anti")
+    return own.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

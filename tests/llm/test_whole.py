@@ -110,3 +110,17 @@ def test_pii_terms_far_from_the_span_short_and_in_other_scripts(spark):
         words = [text[int(a):int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
         assert sorted(words) == sorted(["Kim", "Anne-Marie", "O'Neill", "李明", "wrote", "from", "zephyrine", "signed", "and", "Kim"])
     assert all(got[i].spans == "" for i in range(60))
+
+
+# --- pipeline ------------------------------------------------------------------------
+
+def test_pipeline_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows_ = [(1, text("a")), (None, text("a")), (None, text("b")), (None, None), (None, ""),  # a null id that copies a numbered document
+             (5, text("c")), (5, text("d")), (4, text("c")),  # another text of an id that is a copy
+             (6, text("e")), (6, text("e")), (6, text("f")),  # rows of one id, one of them unlinked
+             (None, text("g")), (None, text("g"))]  # a group without ids
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows_, "doc_id long, text string"), "")
+    want = [(1, text("a")), (None, text("b")), (None, None), (None, ""), (5, text("d")), (4, text("c")), (6, text("e")), (6, text("f")), (None, text("g"))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
