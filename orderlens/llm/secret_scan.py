@@ -1,8 +1,9 @@
 """Secret scan with a random forest for false-positive removal, in DataFrame
 operations alone (the forest is Spark's own, trained from a DataFrame).
 
-Candidates are runs of 20 or more key characters, and private key blocks.  The
-forest sees a candidate's length, class changes between neighbouring
+Candidates are runs of 20 or more key characters, shorter values assigned to a
+credential's name, and private key blocks (also encrypted ones and those of
+PGP).  A name before ``=`` is not part of a run.  The forest sees a candidate's length, class changes between neighbouring
 characters, shares of digits and capitals, variety of characters, coverage by
 dictionary words, whether it is part of a path, and the words and marks next
 to it.  The dictionary holds the WORDS most frequent short words over all
@@ -31,8 +32,12 @@ from orderlens.llm.pii import parts_of
 from orderlens.session import ensure_checkpoint_dir
 
 # --- fixed values: candidates and words next to them --------------------------
-KEY = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+# a run before = and a value is a name
+KEY = r"(?:\G|(?<![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{20,}+(?!=[\"'`]?[A-Za-z0-9+/_-])={0,2}+"
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+# looks back for the name only where something is assigned
+SHORT = (r"(?<=[=:>\x20\t\"'`])(?<=[=:>][\x20\t]{0,3}[\"'`]?|(?i:bearer)[\x20\t]{1,3})(?<=(?i:key|token|secret|passw|passwd|pwd|auth|credential|sign)[A-Za-z_-]{0,24}[\"']?[\x20\t]{0,3}(?:=>|=|:)[\x20\t]{0,3}[\"'`]?|(?i:bearer)[\x20\t]{1,3})"
+         r"(?![^\s\"'`,;&<>(){}\[\]]*?[A-Za-z0-9+/_-]{20})(?![=:>])[^\s\"'`,;&<>(){}\[\]]{4,}+")
 NAMES = r"(?i)(key|token|secret|passw|passwd|pwd|auth|credential|bearer|sign)[A-Za-z_-]*[\"']?\s*(=|:|=>|\s)\s*[\"'`]?$"
 EXAMPLES = r"(?i)example|sample|dummy|placeholder|your[_-]|xxxx|changeme"
 
@@ -55,7 +60,8 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
 
 def candidates(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every candidate with its features: (row, doc_id, kind, i, gap, match, ...)."""
-    parts = parts_of(docs, id_col, text_col, {"key": KEY, "block": BLOCK}, {"key": "[A-Za-z0-9+/_=-]{20}", "block": "-----BEGIN "}, REACH)
+    parts = parts_of(docs, id_col, text_col, {"key": KEY, "short": SHORT, "block": BLOCK},
+                     {"key": "[A-Za-z0-9+/_-]{20}", "short": "(?i)key|token|secret|passw|pwd|auth|credential|bearer|sign", "block": "-----BEGIN "}, REACH)
     found = parts.filter("match is not null").withColumn("n", F.length("match")).drop("head")
     m, n = F.col("match"), F.col("n")
     share = lambda rx: F.regexp_count(m, F.lit(rx)) / n
@@ -75,7 +81,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
     mixed = (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("variety") > 0.2)
     sure = (F.col("named") == 1) & (F.col("assigned") == 1) & mixed & (F.col("example") == 0) & (F.col("path") == 0)
     never = (F.col("digits") == 0) | (F.col("example") == 1) | (F.col("path") == 1) & (F.col("named") == 0)
-    return found.filter("kind = 'key'").withColumn("label", F.when(sure, 1.0).when(never, 0.0)).filter("label is not null")
+    return found.filter("kind <> 'block'").withColumn("label", F.when(sure, 1.0).when(never, 0.0)).filter("label is not null")
 
 
 def fit(spark: SparkSession, findings: DataFrame):

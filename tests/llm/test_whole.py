@@ -124,3 +124,24 @@ def test_pipeline_near_duplicates_go_by_row(spark):
     got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows_, "doc_id long, text string"), "")
     want = [(1, text("a")), (None, text("b")), (None, None), (None, ""), (5, text("d")), (4, text("c")), (6, text("e")), (6, text("f")), (None, text("g"))]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+# --- secrets ---------------------------------------------------------------------------
+
+def test_secrets_of_all_forms_reach_the_forest(spark):
+    rnd = random.Random(8)
+    key = lambda n=40: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    long = {i: key() for i in range(40)}
+    short = {100 + i: f"p4s!{key(8)}" for i in range(40)}
+    texts = {i: f"export API_TOKEN={s}\nexport A_VERY_LONG_NAME_OF_A_TOKEN={s}" for i, s in long.items()} | {i: f"password: {s} for the site" for i, s in short.items()}
+    texts |= {200 + i: f"see /usr/lib/some/very/long/path/to/file{i}.txt and extraordinarilylongcompoundword" for i in range(60)}
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nabc\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-y\n\nabc\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts |= {300: f"a {pem} b {pgp} c", 301: "-----BEGIN PRIVATE KEY-----" + "a-" * 50_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in secret_scan.scan(spark, df).collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start:r.end])
+    assert all(got[i] == [s, s] for i, s in long.items())
+    assert all(got[i] == [s] for i, s in short.items())
+    assert {pem, pgp} <= set(got[300]) and not any(200 <= i < 260 for i in got)
