@@ -163,7 +163,9 @@ class Lexicon:
             if len(self.members) >= 20_000:  # the automaton is rebuilt from its start
                 self.states, self.members, self.steps = {}, [], []
                 self.start = self._state(self._closed({0: 0}))
-            got = self.kept[word] = self._look(word) if len(word) <= 64 else None
+            got = self._look(word)
+            if len(word) <= 64:
+                self.kept[word] = got
             return got
 
     def features(self, text: str) -> list[float]:
@@ -248,11 +250,10 @@ def _terms(sample: DataFrame) -> DataFrame:
             for text, toxic in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True):
                 terms: Counter = Counter()
                 for w, times in Counter(_WORD.findall(text.lower())).items():
-                    if len(w) <= 64:
-                        terms[w, False] += times
-                        for k in PREFIXES:
-                            if len(w) > k:
-                                terms[w[:k], True] += times
+                    terms[w, False] += times
+                    for k in PREFIXES:
+                        if len(w) > k:
+                            terms[w[:k], True] += times
                 for t, times in terms.items():
                     row = n.setdefault(t, [0, 0, 0, 0])
                     row[1 - toxic] += 1

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.llm import lm, pii, secret_scan
+from orderlens.llm import lm, pii, secret_scan, toxicity
 
 
 def rows(df, key="doc_id"):
@@ -145,3 +145,13 @@ def test_secrets_of_all_forms_reach_the_forest(spark):
     assert all(got[i] == [s, s] for i, s in long.items())
     assert all(got[i] == [s] for i, s in short.items())
     assert {pem, pgp} <= set(got[300]) and not any(200 <= i < 260 for i in got)
+
+
+# --- toxicity --------------------------------------------------------------------------
+
+def test_toxicity_of_words_of_any_length():
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "moron" * 20: 3.0}, {"idio": 2.0})
+    assert lexicon.look("idiot" * 30) == (2.0, "idio*")
+    assert lexicon.look("moron" * 20) == (3.0, "moron" * 20)
+    assert lexicon.look("moron" * 19 + "moran")[1] == "moron" * 20
+    assert lexicon.look("x" * 50_000) is None
