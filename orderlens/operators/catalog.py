@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from orderlens.functions import allowed_file, basename, glob_to_regex, secure_filename
 from orderlens.functions.dates import DISPLAY_DATE, DISPLAY_TIMESTAMP
+from orderlens.operators.running import running_before
 from orderlens.schema import UPLOAD_GLOB
 
 _UPLOAD_FIELDS = ["upload_id", "seller_id", "filename", "original_name", "filepath", "upload_date", "row_count"]
@@ -38,7 +39,10 @@ def uploads_list(uploads: DataFrame) -> DataFrame:
     buckets, ranked inside a bucket, and what stands before a bucket is a
     running sum over the counts.  A bucket is a second; a second with more than
     UPLOADS_BUCKET uploads of the seller is cut at each time in it, and a time
-    with more at ranges of the id.
+    with more at ranges of the id.  The running sum itself goes by ranges of
+    buckets (:func:`running_before`), so a seller with millions of buckets is
+    spread as well; its bucket counts are written to the shared checkpoint
+    folder when this is called.
     """
     time = F.coalesce("upload_date", F.lit("0001-01-01").cast("timestamp"))
     u = uploads.withColumn("_t", time)
@@ -53,8 +57,7 @@ def uploads_list(uploads: DataFrame) -> DataFrame:
     u = u.join(marks, ["seller_id", "_t"]).withColumn("_part", F.when(F.col("_parts") > 1, part).otherwise(0).cast("int"))
     bucket = ["_from", "_part"]
     per_bucket = u.groupBy("seller_id", *bucket).agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy("seller_id").orderBy(*[F.desc(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("seller_id", *bucket, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    offsets = running_before(per_bucket, ["seller_id"], [F.desc(b) for b in bucket], "_n", "_before")
     within = Window.partitionBy("seller_id", *bucket).orderBy(*_newest_first())
     ranked = u.withColumn("_r", F.row_number().over(within) - 1)
     j = ranked.join(offsets, ["seller_id", *bucket], "inner")
