@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import ann, bpe, chat, decontam, jaccard_join, lm, pii, quality, secret_scan, toxicity
+from orderlens.llm import ann, bpe, chat, decontam, filter_audit, jaccard_join, lm, pii, quality, secret_scan, sharding, toxicity, vector_codes
 from orderlens.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(spark, table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector coded by eight codebooks refined over all vectors."""
+    return vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of all 120 orders of five filters over whole documents."""
+    return filter_audit.interactions(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, permuted by its global row number."""
+    return sharding.digests(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }
 
 #: A turn's text is escaped when it holds the mark that closes it or a string
@@ -104,4 +122,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """,
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_sharding": sharding.oracle_sql(),
 }
