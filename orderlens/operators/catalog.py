@@ -18,6 +18,7 @@ from orderlens.functions import allowed_file, basename, glob_to_regex, secure_fi
 from orderlens.functions.dates import DISPLAY_DATE, DISPLAY_TIMESTAMP
 from orderlens.operators.running import running_before
 from orderlens.schema import UPLOAD_GLOB
+from orderlens.session import ensure_checkpoint_dir
 
 _UPLOAD_FIELDS = ["upload_id", "seller_id", "filename", "original_name", "filepath", "upload_date", "row_count"]
 # Uploads of one seller and second (or time) that are ranked together, at most about.
@@ -194,14 +195,24 @@ def purge_sellers(seller_ids: DataFrame, *frames: DataFrame) -> list[DataFrame]:
     return [f.join(ids, "seller_id", "left_anti") for f in frames]
 
 
-def upsert_by_key(current: DataFrame, updates: DataFrame, key: str = "seller_id") -> DataFrame:
+def upsert_by_key(current: DataFrame, updates: DataFrame, key: str = "seller_id", order: str | None = None) -> DataFrame:
     """Apply ``updates`` to ``current`` by primary key: a NULL in an update
-    keeps the old value; keys only in ``updates`` are inserted."""
+    keeps the old value; keys only in ``updates`` are inserted.
+
+    A key may be updated several times: ``order`` (a column of ``updates``, such
+    as the time of the update) then says which value of a column is the last one
+    given.  One row comes out for each key.  Without ``order``, updates of one key
+    that differ are taken as given at once, and the greatest value counts.  The
+    updates are reduced on every map task before they meet the current rows."""
     cols = [c for c in current.columns if c != key]
-    upd = updates.select(key, *[(F.col(c) if c in updates.columns else F.lit(None).cast(current.schema[c].dataType))
-                                .alias(f"__new_{c}") for c in cols])
+    given = [c for c in cols if c in updates.columns]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(order), F.col(c)))) if order else F.max(c) for c in given]
+    if given:
+        upd = updates.groupBy(key).agg(*[x.alias(f"__new_{c}") for x, c in zip(last, given)])
+    else:
+        upd = updates.select(key).distinct()
     j = current.join(upd, key, "full_outer")
-    return j.select(key, *[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) for c in cols])
+    return j.select(key, *[(F.coalesce(F.col(f"__new_{c}"), F.col(c)) if c in given else F.col(c)).alias(c) for c in cols])
 
 
 def evolve_schema(df: DataFrame, columns: Sequence[tuple[str, T.DataType | str, object]]) -> DataFrame:
@@ -224,6 +235,59 @@ def unique_violations(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
+def check_unique(new: DataFrame, current: DataFrame, keys: Sequence[str], row_id: str, order: str | None = None) -> DataFrame:
+    """Rows of ``new`` to be registered, each with ``reason``: NULL for those that
+    may be, else why not.
+
+    Every column of ``keys`` must be unique by itself over ``current`` and the
+    accepted new rows, as unique constraints enforce it on rows that come one by
+    one (by ``order``, then ``row_id``, which tells the new rows apart): '<key>
+    exists' if ``current`` has the value, '<key> repeated' if an accepted row before
+    it has it; the first key that fails is named.  A NULL is never a repetition.
+
+    With several keys a refused row may free a value for a later one, so rows are
+    settled in rounds: a row that is the first of all its values is accepted, rows
+    that share a value with it are refused, the others wait.  Each round is a few
+    aggregates and joins by value, so a value that very many rows give is reduced
+    on every map task; it is checkpointed, and at least the first row waiting is
+    settled in it.
+    """
+    rows = new.withColumn("__place", F.struct(*[F.col(c) for c in ([order] if order else [])], F.col(row_id)))
+    exists = F.lit(None).cast("string")
+    for i, k in reversed(list(enumerate(keys))):
+        rows = rows.join(current.filter(F.col(k).isNotNull()).select(k).distinct().withColumn(f"__held{i}", F.lit(True)), k, "left")
+        exists = F.when(F.col(f"__held{i}"), F.lit(f"{k} exists")).otherwise(exists)
+    rows = rows.withColumn("__exists", exists)
+    accepted = _accepted(rows.filter("__exists is null").select("__place", *keys), keys)
+    reason = F.lit(None).cast("string")
+    for i, k in reversed(list(enumerate(keys))):
+        rows = rows.join(accepted.filter(F.col(k).isNotNull()).select(k, F.col("__place").alias(f"__first{i}")), k, "left")
+        reason = F.when(F.col(f"__first{i}") < F.col("__place"), F.lit(f"{k} repeated")).otherwise(reason)
+    return rows.select(*new.columns, F.coalesce("__exists", reason).alias("reason"))
+
+
+def _accepted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows (``__place`` and keys) that a registration one by one accepts."""
+    firsts = lambda df, k: df.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("__place").alias("__first"))
+    if len(keys) == 1:
+        (k,) = keys
+        return rows.filter(F.col(k).isNull()).unionByName(firsts(rows, k).select(F.col("__first").alias("__place"), k))
+    ensure_checkpoint_dir(rows.sparkSession)
+    out, waiting = rows.limit(0), rows.checkpoint()
+    while not waiting.isEmpty():
+        marked, ahead = waiting, F.lit(True)
+        for i, k in enumerate(keys):
+            marked = marked.join(firsts(waiting, k).withColumnRenamed("__first", f"__first{i}"), k, "left")
+            ahead = ahead & (F.col(k).isNull() | (F.col(f"__first{i}") == F.col("__place")))
+        now = marked.filter(ahead).select("__place", *keys).checkpoint()
+        out = out.unionByName(now)
+        waiting = waiting.join(now, "__place", "left_anti")
+        for k in keys:
+            waiting = waiting.join(now.filter(F.col(k).isNotNull()).select(k), k, "left_anti")
+        waiting = waiting.select("__place", *keys).checkpoint()
+    return out
+
+
 def select_uploads(requests: DataFrame, uploads: DataFrame, listing: DataFrame) -> DataFrame:
     """Which upload each request looks at.
 
@@ -263,5 +327,5 @@ __all__ = [
     "uploads_list", "uploads_by_date", "latest_upload", "upload_lookup", "matching_files",
     "discover_uploads", "existing_uploads", "latest_existing_upload", "upload_row_counts",
     "seller_from_filename", "seller_from_path", "register_uploads", "stored_name", "dedupe_uploads", "delete_uploads",
-    "purge_sellers", "upsert_by_key", "evolve_schema", "unique_violations", "select_uploads",
+    "purge_sellers", "upsert_by_key", "evolve_schema", "unique_violations", "check_unique", "select_uploads",
 ]

@@ -564,6 +564,52 @@ LEFT JOIN (SELECT seller_id, string_agg(catalogue_id || '=' || return_count, ';'
 LEFT JOIN (SELECT seller_id, string_agg(sku_description || '=' || return_count, ';' ORDER BY rnk) AS skus FROM ({SQL["top_returned_skus"]}) GROUP BY seller_id) s USING (seller_id)
 """
 
+SQL["kpi_document_chunks"] = f"""
+SELECT seller_id, CAST(pos // 2 AS INTEGER) AS chunk, string_agg(return_reason || '=' || cnt, ';' ORDER BY pos) AS entries
+FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY cnt DESC, return_reason) - 1 AS pos FROM ({SQL["return_reasons"]}))
+GROUP BY seller_id, pos // 2
+"""
+
+# Of every third seller only the returned lines are left, of every fifth (other) none.
+SQL["reingest_kpis"] = SQL["seller_kpis"].replace("FROM o ", f"FROM (SELECT * FROM o WHERE CASE WHEN seller_id % 3 = 0 THEN {RET} ELSE seller_id % 5 <> 0 END) ")
+SQL["reingest_rollup_kpis"] = SQL["reingest_kpis"]
+
+_FOLDER = "(SELECT DISTINCT seller_id, 0 AS empty FROM o UNION ALL SELECT 0, 1)"
+SQL["files_listed"] = f"SELECT seller_id, COUNT(*) AS files, CAST(SUM(empty) AS BIGINT) AS empty_files FROM {_FOLDER} GROUP BY seller_id"
+SQL["folder_scan_catalog"] = f"""
+SELECT seller_id, COUNT(*) AS files, COUNT(*) AS paths,
+  CAST(coalesce(any_value(n), 0) AS BIGINT) AS row_count
+FROM {_FOLDER} LEFT JOIN (SELECT seller_id, COUNT(*) AS n FROM o WHERE seller_id % 2 = 0 GROUP BY seller_id) USING (seller_id)
+GROUP BY seller_id
+"""
+
+SQL["orders_evolved"] = f"""
+SELECT seller_id, CASE WHEN year(order_dt) < 1996 THEN 'unknown' WHEN {RET} THEN 'shop' END AS channel,
+  CASE WHEN year(order_dt) >= 1996 THEN return_reason END AS return_reason, COUNT(*) AS lines, CAST(SUM(order_price) AS DOUBLE) AS amount
+FROM o GROUP BY ALL
+"""
+
+SQL["seller_upsert_last"] = """
+WITH cur AS (SELECT seller_id, name, store_name, email FROM sl),
+given AS (
+  SELECT seller_id, upload_date, upload_id, CASE WHEN event_type <> 'signup' THEN 'Store ' || upload_id END AS store_name,
+    CASE WHEN event_type = 'purchase' THEN upload_id || '@example.com' END AS email FROM ev),
+upd AS (
+  SELECT seller_id, arg_max(store_name, (upload_date, upload_id)) FILTER (WHERE store_name IS NOT NULL) AS store_name,
+    arg_max(email, (upload_date, upload_id)) FILTER (WHERE email IS NOT NULL) AS email FROM given GROUP BY seller_id)
+SELECT COALESCE(cur.seller_id, upd.seller_id) AS seller_id, cur.name, COALESCE(upd.store_name, cur.store_name) AS store_name, COALESCE(upd.email, cur.email) AS email
+FROM cur FULL OUTER JOIN upd ON cur.seller_id = upd.seller_id
+"""
+
+SQL["register_unique"] = """
+WITH new AS (
+  SELECT upload_id, upload_date, CASE WHEN event_type <> 'error' THEN 'supplier' || lpad(CAST(upload_id % 5000 AS VARCHAR), 9, '0') || '@example.com' END AS email FROM ev)
+SELECT upload_id, email,
+  CASE WHEN email IN (SELECT email FROM sl) THEN 'email exists'
+       WHEN email IS NOT NULL AND row_number() OVER (PARTITION BY email ORDER BY upload_date, upload_id) > 1 THEN 'email repeated' END AS reason
+FROM new
+"""
+
 _HASH = "CAST('0x' || substr(md5(sku_description), 1, 8) AS BIGINT)"
 SQL["sku_buckets"] = f"""
 SELECT DISTINCT sku_description AS sku, 'Brand-' || substr(CAST({_HASH} % 1000 AS VARCHAR), 1, 3) AS brand, 'WH-' || CAST({_HASH} % 3 + 1 AS VARCHAR) AS warehouse

@@ -137,15 +137,12 @@ def q_orders_csv_wide(spark, sf):
     from orderlens.operators.catalog import seller_from_path
     from orderlens.sources.csv_orders import read_orders_csv
     path = _scratch(spark, "order-files-wide")
-    names = ["order_id", "order_date", "order_price", "order_status", "return_cost", "sku_description"]
-    header = "," + ",".join([f"extra {i}" for i in range(40)] + names)
-    cells = [F.col("order_id").cast("string"), *[F.lit(f"x{i}") for i in range(40)], F.col("order_id").cast("string"), "order_date", F.col("order_price").cast("string"), "order_status",
-             F.col("return_cost").cast("string"), F.lit('"5"" pipe, steel\r\nsecond line"')]
-    deal = F.pmod(F.col("order_id"), F.lit(16))
-    body = _lines(spark, sf).select("seller_id", deal.alias("part"), F.concat_ws(",", *cells).alias("line"))
-    files = body.groupBy("seller_id", "part").agg(F.concat(F.lit(header + "\r\n"), F.array_join(F.collect_list("line"), "\r\n")).alias("value"))
-    files.write.partitionBy("seller_id", "part").option("lineSep", "\r\n").text(path)
-    o = read_orders_csv(spark, path, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    cells = [F.col("order_id").alias(""), *[F.lit(f"x{i}").alias(f"extra {i}") for i in range(40)], "order_id", "order_date", "order_price", "order_status", "return_cost",
+             F.lit('5" pipe, steel\r\nsecond line').alias("sku_description")]
+    part = F.pmod(F.col("order_id"), F.lit(4))  # a hot seller is written by several tasks
+    files = _lines(spark, sf).withColumn("part", part).repartition("seller_id", "part").select(*cells, "seller_id", "part")
+    files.write.partitionBy("seller_id", "part").options(header=True, escape='"', lineSep="\r\n").csv(path)
+    o = read_orders_csv(spark, path, recursiveFileLookup=True, pathGlobFilter="*.csv")
     return kpis.seller_kpis(o.withColumn("seller_id", seller_from_path("source_file")))
 
 
@@ -203,6 +200,82 @@ def q_sellers_purge(spark, sf):
     return kept
 
 
+def _reingested(spark, sf):
+    """Two scans of one upload folder.  Between them the files of every third
+    seller are replaced by files with only the returned lines, and those of every
+    fifth seller removed; a second table holds what another seller stored."""
+    from orderlens.streaming.ingest import scan_folder
+    root, out = _scratch(spark, "upload-folder"), _scratch(spark, "ingest")
+    cols, o = [n for n, _ in ORDER_COLUMNS], _orders(spark, sf)
+    third, fifth = F.pmod(F.col("seller_id"), F.lit(3)) == 0, F.pmod(F.col("seller_id"), F.lit(5)) == 0
+    write = lambda df, name: export_csv(df, f"{root}/{name}", columns=cols, partition_by="seller_id")
+    scan = lambda: scan_folder(spark, root, f"{out}/orders", f"{out}/catalog", pattern="*.csv", recursive=True, drop_missing=True, checkpoint=f"{out}/ckpt")
+    write(o.filter(~third & ~fifth), "kept")
+    write(o.filter(third), "replaced")
+    write(o.filter(~third & fifth), "removed")
+    scan()
+    write(o.filter(third & (F.col("order_status") == "returned")), "replaced")  # overwrites the folder
+    write(o.limit(0), "removed")
+    scan()
+    return f"{out}/orders"
+
+
+def q_reingest_kpis(spark, sf):
+    """Seller KPIs of the order table after uploads were replaced and removed
+    between two scans, from its lines."""
+    from orderlens.sources import order_table
+    return kpis.seller_kpis(order_table.read_orders(spark, _reingested(spark, sf)))
+
+
+def q_reingest_rollup_kpis(spark, sf):
+    """The same from the table's roll-up."""
+    from orderlens.sources import order_table
+    return kpis.seller_kpis(order_table.read_rollup(spark, _reingested(spark, sf)))
+
+
+def _upload_folder(spark, sf) -> str:
+    """An upload folder with files of all kinds: order lines of every even seller,
+    only a header for every fourth seller, bytes that are no text, and nothing."""
+    root, o = _scratch(spark, "upload-folder"), _lines(spark, sf).select("seller_id", "order_id", "order_price")
+    seller = lambda n, of: F.pmod(F.col("seller_id"), F.lit(n)) == of
+    o.filter(seller(2, 0)).repartition("seller_id").write.partitionBy("seller_id").option("header", True).csv(f"{root}/orders")
+    others = o.select("seller_id").distinct().filter(seller(2, 1))
+    others.filter(seller(4, 1)).select("seller_id", F.lit("order_id,order_price").alias("value")).repartition("seller_id").write.partitionBy("seller_id").text(f"{root}/header")
+    others.filter(seller(4, 3)).select("seller_id", F.unhex(F.lit("6F726465725F69640AFFFE")).cast("string").alias("value")).repartition("seller_id").write.partitionBy("seller_id").text(f"{root}/binary")
+    spark.range(0).select(F.col("id").cast("string").alias("value")).write.text(f"{root}/empty/seller_id=0")
+    return root
+
+
+def q_files_listed(spark, sf):
+    """The listing of an upload folder: files and empty files by seller."""
+    from orderlens.operators.catalog import seller_from_path
+    from orderlens.sources.files import list_files
+    found = list_files(spark, _upload_folder(spark, sf), recursive=True)
+    return found.groupBy(seller_from_path("filepath").alias("seller_id")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") == 0).alias("empty_files"))
+
+
+def q_folder_scan_catalog(spark, sf):
+    """The catalog after one scan of that folder: every file is registered once,
+    those without lines, unreadable and empty ones with row_count 0."""
+    from orderlens.streaming.ingest import read_catalog, scan_folder
+    root, out = _upload_folder(spark, sf), _scratch(spark, "ingest")
+    scan_folder(spark, root, f"{out}/orders", f"{out}/catalog", pattern="*", recursive=True, checkpoint=f"{out}/ckpt")
+    return read_catalog(spark, f"{out}/catalog").groupBy("seller_id").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("filepath").alias("paths"), F.sum("row_count").alias("row_count"))
+
+
+def q_orders_evolved(spark, sf):
+    """An order table whose older version has no ``return_reason`` and no
+    ``channel``: lines by the value of both, with a default for lines from before."""
+    from orderlens.sources import order_table
+    path, o = _scratch(spark, "order-table"), _yearly_uploads(spark, sf)
+    old = F.year("order_dt") < 1996
+    order_table.store_uploads(o.filter(old).drop("return_reason"), path)
+    channel = F.when(F.col("order_status") == "returned", F.lit("shop"))
+    order_table.store_uploads(o.filter(~old).withColumn("channel", channel), path)
+    lines = order_table.read_orders(spark, path, defaults={"channel": "unknown"})
+    return lines.groupBy("seller_id", "channel", "return_reason").agg(F.count(F.lit(1)).alias("lines"), F.sum("order_price").cast("double").alias("amount"))
+
+
 # --- dashboard KPIs ----------------------------------------------------------
 
 def q_seller_kpis(spark, sf):
@@ -246,6 +319,14 @@ def q_kpi_document(spark, sf):
                     pairs("top_catalogues", "catalogue_id").alias("catalogues"), pairs("top_skus", "sku_description").alias("skus"))
 
 
+def q_kpi_document_chunks(spark, sf):
+    """Entries of the chunked documents, chunk by chunk (two reasons a chunk)."""
+    c = kpis.kpi_json_chunks(_orders(spark, sf), entries=2).filter("section = 'return_reasons'")
+    entries = F.from_json("json", "array<struct<return_reason:string,cnt:bigint>>")
+    listed = F.array_join(F.transform(entries, lambda e: F.concat(e["return_reason"], F.lit("="), e["cnt"].cast("string"))), ";")
+    return c.select("seller_id", F.col("chunk").cast("int").alias("chunk"), listed.alias("entries"))
+
+
 def q_daily_sales(spark, sf):
     return kpis.daily_sales(_lines(spark, sf))
 
@@ -508,6 +589,27 @@ def q_seller_upsert(spark, sf):
     return catalog.upsert_by_key(cur, upd.unionByName(ins, allowMissingColumns=True))
 
 
+def q_seller_upsert_last(spark, sf):
+    """Every upload event renames its seller's store ('signup' events leave the
+    name alone, 'purchase' events give an address): one row a seller, each column
+    with the value given last."""
+    s = sellers_from_supplier(spark, sf).select("seller_id", "name", "store_name", "email")
+    ev = _uploads(spark, sf)
+    store = F.when(F.col("event_type") != "signup", F.concat(F.lit("Store "), F.col("upload_id").cast("string")))
+    email = F.when(F.col("event_type") == "purchase", F.concat(F.col("upload_id").cast("string"), F.lit("@example.com")))
+    upd = ev.select("seller_id", store.alias("store_name"), email.alias("email"), F.struct("upload_date", "upload_id").alias("given"))
+    return catalog.upsert_by_key(s, upd, order="given")
+
+
+def q_register_unique(spark, sf):
+    """Every upload event asks to register an account under an address ('error'
+    events: none): refused where a seller or an earlier request has it."""
+    s, ev = sellers_from_supplier(spark, sf), _uploads(spark, sf)
+    address = F.concat(F.lit("supplier"), F.lpad(F.pmod("upload_id", F.lit(5000)).cast("string"), 9, "0"), F.lit("@example.com"))
+    new = ev.select("upload_id", "upload_date", F.when(F.col("event_type") != "error", address).alias("email"))
+    return catalog.check_unique(new, s, ["email"], "upload_id", order="upload_date").select("upload_id", "email", "reason")
+
+
 def q_schema_evolve(spark, sf):
     s = sellers_from_supplier(spark, sf).select("seller_id", "name", "email")
     return catalog.evolve_schema(s, [
@@ -531,6 +633,11 @@ QUERIES: dict[str, Query] = {
     "orders_sink_month_kpis": q_orders_sink_month_kpis,
     "orders_csv_wide": q_orders_csv_wide,
     "file_row_counts": q_file_row_counts,
+    "reingest_kpis": q_reingest_kpis,
+    "reingest_rollup_kpis": q_reingest_rollup_kpis,
+    "files_listed": q_files_listed,
+    "folder_scan_catalog": q_folder_scan_catalog,
+    "orders_evolved": q_orders_evolved,
     "upload_replace": q_upload_replace,
     "orders_delete": q_orders_delete,
     "orders_purge": q_orders_purge,
@@ -540,6 +647,7 @@ QUERIES: dict[str, Query] = {
     "order_validation": q_order_validation,
     "kpi_json": q_kpi_json,
     "kpi_document": q_kpi_document,
+    "kpi_document_chunks": q_kpi_document_chunks,
     "daily_sales": q_daily_sales,
     "return_reasons": q_return_reasons,
     "top_returned_catalogues": q_top_returned_catalogues,
@@ -578,6 +686,8 @@ QUERIES: dict[str, Query] = {
     "upload_delete": q_upload_delete,
     "seller_purge": q_seller_purge,
     "seller_upsert": q_seller_upsert,
+    "seller_upsert_last": q_seller_upsert_last,
+    "register_unique": q_register_unique,
     "schema_evolve": q_schema_evolve,
     "unique_violations": q_unique_violations,
 }

@@ -16,7 +16,7 @@ from orderlens.operators import catalog, kpis
 from orderlens.operators.quality import validate_orders
 from orderlens.plans.dashboard import rollup
 from orderlens.sources import export_csv, file_row_counts, list_files, order_table, read_orders_csv
-from orderlens.sources.csv_orders import fields, file_report, records
+from orderlens.sources.csv_orders import file_report
 from orderlens.streaming.ingest import ingest_changed, read_catalog, scan_folder
 
 
@@ -60,21 +60,63 @@ def test_line_mode_gives_the_same_rows(spark, tmp_dir):
     assert whole == lines == [(1, 10), (2, 20), (3, 30)]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.lists(st.text(alphabet='ab",\n\r é', max_size=6), min_size=1, max_size=4), min_size=1, max_size=4), st.sampled_from(["\n", "\r\n"]))
-def test_records_as_the_csv_module_reads_them(spark, rows, end):
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text(alphabet='ab",\n\r é', max_size=6), min_size=3, max_size=3), min_size=1, max_size=4), st.sampled_from(["\n", "\r\n"]))
+def test_records_as_the_csv_module_reads_them(spark, tmp_dir, rows, end):
+    header = ["x", "order_status", "return_type", "y"]
     out = io.StringIO()
-    csv.writer(out, lineterminator=end).writerows(rows)
-    text = out.getvalue()
-    got = spark.createDataFrame([(text,)], "t string").select(F.transform(records("t"), lambda r: fields(r)).alias("f")).first().f
-    assert got == [r for r in csv.reader(io.StringIO(text, newline="")) if r]
-
-
-def test_one_scan_without_a_join(spark, tmp_dir):
-    p = write_csv(tmp_dir, "1_a_1.csv", "order_id\n1\n")
-    for df in (read_orders_csv(spark, p), file_row_counts(spark, p)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("FileScan text") == 1 and "Join" not in plan and "Exchange" not in plan
+    csv.writer(out, lineterminator=end).writerows([header, *[["z", *r] for r in rows]])
+    p = write_csv(tmp_dir, "1_a_1.csv", out.getvalue())
+    got = [(r.order_status, r.return_type) for r in read_orders_csv(spark, p).collect()]
+    assert got == [(r[1] or None, r[2] or None) for r in csv.reader(io.StringIO(out.getvalue(), newline=""))][1:]
+    assert file_row_counts(spark, p).first().row_count == len(rows)
+
+
+def test_rows_are_read_by_spark_without_a_shuffle(spark, tmp_dir):
+    """One CSV scan of the wanted places only; the table of files is broadcast."""
+    p = write_csv(tmp_dir, "1_a_1.csv", ",".join(f"x{i}" for i in range(50)) + ",order_id\n" + "1," * 50 + "7\n")
+    plan = read_orders_csv(spark, p).select("order_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "FileScan text" not in plan and "Exchange hash" not in plan and "Python" not in plan
+    assert "ReadSchema: struct<c50:string>" in plan
+
+
+def test_headers_of_many_shapes(spark, tmp_dir, monkeypatch):
+    """Quoted names, names with commas and line breaks, mixed line ends, blank
+    first lines, and a wanted column in more places than are told apart by CASE."""
+    from orderlens.sources import csv_orders
+    texts = ['"order_id","a,b",order_price\n1,x,10\n', '"a\nb",order_price,order_id\nx,20,2\n', "order_id,order_status\r\n3,returned\n\r\n4,returned\r\n", "order_id,order_status\n5,returned\r\n",
+             "\n\norder_id\n6\n", 'order_id,"x ""y"", z",order_status\n7,"q\r\nr",returned\n', "\ufefforder_id\r\n8\r\n"]
+    texts += [f"{'x,' * i}order_id\n{'0,' * i}{9 + i}\n" for i in range(6)]
+    paths = [write_csv(tmp_dir, f"1_{i}_1.csv", t) for i, t in enumerate(texts)]
+    want = {1: ("10", None), 2: ("20", None), **{i: (None, "returned") for i in (3, 4, 5, 7)}, **{i: (None, None) for i in (6, 8, *range(9, 15))}}
+    get = lambda: {r.order_id: (r.order_price and str(int(r.order_price)), r.order_status) for r in read_orders_csv(spark, paths).collect()}
+    assert get() == want
+    monkeypatch.setattr(csv_orders, "MOST_PLACES", 2)
+    monkeypatch.setattr(csv_orders, "BROADCAST_FILES", 3)
+    assert get() == want
+
+
+def test_files_that_are_not_text_or_gone(spark, tmp_dir):
+    good = write_csv(tmp_dir, "1_a_1.csv", "order_id\n1\n")
+    with open(os.path.join(tmp_dir, "1_b_2.csv"), "wb") as f:
+        f.write(b"order_id\n2\n\xff\n")
+    write_csv(tmp_dir, "1_c_3.csv", "order_id\n")
+    for multi in (True, False):
+        assert [r.order_id for r in read_orders_csv(spark, tmp_dir, multi_line=multi).collect()] == [1]
+        assert {os.path.basename(r.filepath): r.row_count for r in file_row_counts(spark, tmp_dir, multi_line=multi).collect()} == {"1_a_1.csv": 1, "1_b_2.csv": 0, "1_c_3.csv": 0}
+    assert read_orders_csv(spark, [good, good]).count() == 1
+
+
+def test_a_large_file_is_split(spark, tmp_dir):
+    p = write_csv(tmp_dir, "1_a_1.csv", "x,order_id,order_price\n" + "".join(f"y,{i},2\n" for i in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = read_orders_csv(spark, p, multi_line=False)
+        assert df.rdd.getNumPartitions() > 5
+        k = kpis.seller_kpis(df, ()).first()
+        assert (k.total_orders, k.net_sales) == (50_000, 100_000.0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_empty_and_unreadable_files_are_listed(spark, tmp_dir):
