@@ -572,7 +572,7 @@ GROUP BY seller_id, pos // 2
 
 # Of every third seller only the returned lines are left, of every fifth (other) none.
 SQL["reingest_kpis"] = SQL["seller_kpis"].replace("FROM o ", f"FROM (SELECT * FROM o WHERE CASE WHEN seller_id % 3 = 0 THEN {RET} ELSE seller_id % 5 <> 0 END) ")
-SQL["reingest_rollup_kpis"] = SQL["reingest_kpis"]
+SQL["reingest_kpis"] = f"SELECT * FROM ({SQL['reingest_kpis']}), (VALUES ('lines'), ('rollup')) t (taken_from)"
 
 _FOLDER = "(SELECT DISTINCT seller_id, 0 AS empty FROM o UNION ALL SELECT 0, 1)"
 SQL["files_listed"] = f"SELECT seller_id, COUNT(*) AS files, CAST(SUM(empty) AS BIGINT) AS empty_files FROM {_FOLDER} GROUP BY seller_id"

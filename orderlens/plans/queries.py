@@ -139,9 +139,8 @@ def q_orders_csv_wide(spark, sf):
     path = _scratch(spark, "order-files-wide")
     cells = [F.col("order_id").alias(""), *[F.lit(f"x{i}").alias(f"extra {i}") for i in range(40)], "order_id", "order_date", "order_price", "order_status", "return_cost",
              F.lit('5" pipe, steel\r\nsecond line').alias("sku_description")]
-    part = F.pmod(F.col("order_id"), F.lit(4))  # a hot seller is written by several tasks
-    files = _lines(spark, sf).withColumn("part", part).repartition("seller_id", "part").select(*cells, "seller_id", "part")
-    files.write.partitionBy("seller_id", "part").options(header=True, escape='"', lineSep="\r\n").csv(path)
+    files = _lines(spark, sf).select(*cells, "seller_id").hint("rebalance", "seller_id")
+    files.write.partitionBy("seller_id").options(header=True, escape='"', lineSep="\r\n").csv(path)
     o = read_orders_csv(spark, path, recursiveFileLookup=True, pathGlobFilter="*.csv")
     return kpis.seller_kpis(o.withColumn("seller_id", seller_from_path("source_file")))
 
@@ -203,7 +202,7 @@ def q_sellers_purge(spark, sf):
 def _reingested(spark, sf):
     """Two scans of one upload folder.  Between them the files of every third
     seller are replaced by files with only the returned lines, and those of every
-    fifth seller removed; a second table holds what another seller stored."""
+    fifth seller removed."""
     from orderlens.streaming.ingest import scan_folder
     root, out = _scratch(spark, "upload-folder"), _scratch(spark, "ingest")
     cols, o = [n for n, _ in ORDER_COLUMNS], _orders(spark, sf)
@@ -222,15 +221,12 @@ def _reingested(spark, sf):
 
 def q_reingest_kpis(spark, sf):
     """Seller KPIs of the order table after uploads were replaced and removed
-    between two scans, from its lines."""
+    between two scans: once from its lines, once from its roll-up."""
     from orderlens.sources import order_table
-    return kpis.seller_kpis(order_table.read_orders(spark, _reingested(spark, sf)))
-
-
-def q_reingest_rollup_kpis(spark, sf):
-    """The same from the table's roll-up."""
-    from orderlens.sources import order_table
-    return kpis.seller_kpis(order_table.read_rollup(spark, _reingested(spark, sf)))
+    path = _reingested(spark, sf)
+    taken = {"lines": order_table.read_orders(spark, path), "rollup": order_table.read_rollup(spark, path)}
+    lines, rolled = (kpis.seller_kpis(df).withColumn("taken_from", F.lit(name)) for name, df in taken.items())
+    return lines.unionByName(rolled)
 
 
 def _upload_folder(spark, sf) -> str:
@@ -634,7 +630,6 @@ QUERIES: dict[str, Query] = {
     "orders_csv_wide": q_orders_csv_wide,
     "file_row_counts": q_file_row_counts,
     "reingest_kpis": q_reingest_kpis,
-    "reingest_rollup_kpis": q_reingest_rollup_kpis,
     "files_listed": q_files_listed,
     "folder_scan_catalog": q_folder_scan_catalog,
     "orders_evolved": q_orders_evolved,

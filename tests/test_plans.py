@@ -9,7 +9,7 @@ from orderlens.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 # these write files while being built; their read-back plans are covered by the others
-WRITERS = {"orders_csv_kpis", "stream_ingest_kpis", "orders_sink_month_kpis", "orders_csv_wide", "file_row_counts", "reingest_kpis", "reingest_rollup_kpis", "files_listed", "folder_scan_catalog", "orders_evolved", "upload_replace", "orders_delete", "orders_purge"}
+WRITERS = {"orders_csv_kpis", "stream_ingest_kpis", "orders_sink_month_kpis", "orders_csv_wide", "file_row_counts", "reingest_kpis", "files_listed", "folder_scan_catalog", "orders_evolved", "upload_replace", "orders_delete", "orders_purge"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition",
              "BatchEvalPython", "ArrowEvalPython"]
 
