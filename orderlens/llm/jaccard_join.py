@@ -20,14 +20,15 @@ only where more than three quarters of a set are heavy; those lists stay rows.
 The order is exact for any choice of heavy shingles: which ones are listed
 changes the work and not the result.
 
-Links.  The members of a list of up to SHORT classes are compared with each
-other; those of a longer one first with its smallest class.  These links join
-most classes.  Then only members of different components are left to compare:
-for each long list, all members outside the component that most of its members
-have, against all members of other components.  So a group of near copies
-costs its size and not its square, and no link between components is lost.
-Pairs whose prefixes share too little to reach the overlap are passed over;
-the others are verified on whole sets.
+Links.  The members of each list are first compared with its smallest class,
+so that a list costs its length.  These links join most classes.  Then only
+members of different components are left to compare: in a list of up to SHORT
+classes all of them, in a longer one all members outside the component that
+most of its members have, against all members of other components.  So a group
+of near copies costs its size and not its square, and no link between
+components is lost.  Pairs whose prefixes share too little to reach the overlap
+are passed over; the others are verified on whole sets, for which the texts of
+one document of each class in question are read again.
 
 Hashes: shingles have 64 bits, 48 in verification; classes have 128 bits.
 
@@ -59,12 +60,15 @@ NUM, DEN = 75, 100
 HEAVY, HEAVY_LOCAL, CHUNK = 200_000, 6, 4000
 #: Shingles of one bucket of inverted lists that are aimed at.
 BUCKET = 1_500_000
-#: Bits of the filter that keeps sets no pair asks for out of the shuffle.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps texts no pair asks for from being read again,
+#: in parts of PART_BITS.
+FILTER_BITS, PART_BITS = 1 << 26, 1 << 18
 HASHES_KEPT = 300_000
 #: Words of texts that are shingled in one array; lists up to SHORT classes are
 #: compared whole.
 AT_ONCE, SHORT = 100_000, 32
+#: Parts in which a list of more than SHORT heavy rows meets its smallest class.
+SALTS = 16
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -301,21 +305,24 @@ def _heavy_rows(packed: DataFrame) -> DataFrame:
     return packed.filter(F.col("bucket") == HEAVY_BUCKET).select("classes", "sizes", "keys", "refs").mapInArrow(run, "key long, class binary, n long").distinct()
 
 
-_LIST = pa.schema([("key", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.struct([("class", pa.binary()), ("n", pa.int64())])))])
+_LIST = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.struct([("class", pa.binary()), ("n", pa.int64())])))])
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The inverted lists of a bucket with two classes or more; equal ones once,
-    with their number."""
+    """The inverted lists of a bucket with two classes or more; equal ones (by
+    128 bits, "key" and "more") once, with their number."""
     cls = np.concatenate([np.frombuffer(x, dtype="V16") for x in group["classes"].to_pylist()])
     sizes = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group["sizes"].to_pylist()])
     keys = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["keys"].to_pylist()])
     starts = np.cumsum([0, *(len(x) // 16 for x in group["classes"].to_pylist())])[:-1]
     refs = np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.int64) + s for x, s in zip(group["refs"].to_pylist(), starts, strict=True)])
     words = cls.view(np.uint64).reshape(-1, 2)
-    with np.errstate(over="ignore"):
-        names, first, number = np.unique(words[:, 0] * _P ^ words[:, 1], return_index=True, return_inverse=True)
-    cls, sizes = cls[first], sizes[first]
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    other = np.append(True, (words[order[1:]] != words[order[:-1]]).any(axis=1)) if len(cls) else np.zeros(0, bool)
+    number = np.empty(len(cls), np.int64)
+    number[order] = np.cumsum(other) - 1
+    first = order[other]
+    cls, sizes, words = cls[first], sizes[first], words[first]
     member = number[refs]
     order = np.lexsort((member, keys))
     keys, member = keys[order], member[order]
@@ -325,47 +332,40 @@ def _lists(group: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     length = np.diff(np.append(begin, len(keys)))
     with np.errstate(over="ignore"):
-        digest = np.add.reduceat(_mix(names[member] * _P), begin) if len(begin) else names[:0]
+        name = [_mix(words[:, 0] * p ^ words[:, 1]) for p in (_P, _Q)]
+        digest = np.array([np.add.reduceat(_mix(x[member] * _P), begin) if len(begin) else words[:0, 0] for x in name]).T
     begin, length, digest = begin[length > 1], length[length > 1], digest[length > 1]
-    digest, at, times = np.unique(digest, return_index=True, return_counts=True)
+    digest, at, times = np.unique(digest, axis=0, return_index=True, return_counts=True)
     begin, length = begin[at], length[at]
     take = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum()) if len(begin) else begin
     flat = member[take]
     values = pa.StructArray.from_arrays([pa.array([c.tobytes() for c in cls[flat]], type=pa.binary()), pa.array(sizes[flat].astype(np.int64))], names=["class", "n"])
     offsets = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
-    return pa.table([pa.array(digest.view(np.int64)), pa.array(times.astype(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
+    return pa.table([*(pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)), pa.array(times.astype(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
 
 
 # --- verification ----------------------------------------------------------------
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of a column of ids."""
-    schema = pa.schema([("at", pa.int32()), ("bits", pa.binary())])
+def _spot(doc_id: str):
+    """The place of a document in the filter; null ids have one place."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
 
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[_spot(b.column(0).to_pylist())] = True
-        whole = np.packbits(bits).reshape(256, -1)
-        some = np.flatnonzero(whole.any(axis=1))
-        yield batch(schema, some.tolist(), [whole[i].tobytes() for i in some])
-
-    def merge(group: pa.Table) -> pa.Table:
-        parts = np.frombuffer(b"".join(group["bits"].to_pylist()), dtype=np.uint8).reshape(len(group), -1)
-        return pa.table([pa.array([group["at"][0].as_py()], pa.int32()), pa.array([np.bitwise_or.reduce(parts).tobytes()])], schema=schema)
-
-    rows = ids.coalesce(16).mapInArrow(run, "at int, bits binary").groupBy("at").applyInArrow(merge, "at int, bits binary").collect()
-    out = np.zeros((256, FILTER_BITS // 8 // 256), np.uint8)
-    for r in rows:
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the places of ``doc_id``."""
+    def part(group: pa.Table) -> pa.Table:
+        bits = np.zeros(PART_BITS, bool)
+        bits[group["spot"].to_numpy() % PART_BITS] = True
+        return pa.table({"at": pa.array([group["at"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    # at most PART_BITS different places meet in one part
+    spots = ids.select(_spot("doc_id").alias("spot")).distinct().withColumn("at", F.floor(F.col("spot") / PART_BITS))
+    out = np.zeros((FILTER_BITS // PART_BITS, PART_BITS // 8), np.uint8)
+    for r in spots.groupBy("at").applyInArrow(part, "at long, bits binary").collect():
         out[r["at"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
 
-def _spot(classes: list[bytes]) -> np.ndarray:
-    words = np.frombuffer(b"".join(classes), dtype=np.uint64).reshape(-1, 2)
-    return (words[:, 0] % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
 def _pack(members: np.ndarray) -> bytes:
     """48 bits of each hash."""
     return np.ascontiguousarray(members.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
@@ -382,22 +382,24 @@ def similar(shared: int, a: int, b: int) -> bool:
     return DEN * shared >= NUM * (a + b - shared)
 
 
-def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_of(asked))
+def _verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; owners: (class,
+    doc_id), one document of each class."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().checkpoint()
+    bits = spark.sparkContext.broadcast(_filter_of(owners.join(asked, "class", "left_semi")))
     sets = pa.schema([("class", pa.binary()), ("members", pa.binary())])
 
     def read(batches):
         shingler, sent = Shingler(), set()
         for b in batches:
             cls, members = [], []
-            for s in shingler.sets(texts(b.column(1))):
+            at = b.column(1).to_numpy()
+            used = pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+            for s in shingler.sets(texts(b.column(0).filter(used))):
                 if not len(s):
                     continue
                 c = class_of(s)
-                at = int.from_bytes(c[:8], "little") % FILTER_BITS
-                if c in sent or not bits.value[at >> 3] >> (7 - (at & 7)) & 1:
+                if c in sent:
                     continue
                 if len(sent) < 500_000:
                     sent.add(c)
@@ -405,7 +407,7 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame
                 members.append(_pack(s))
             yield batch(sets, cls, members)
 
-    table = docs.mapInArrow(read, "class binary, members binary").join(asked, "class", "left_semi").dropDuplicates(["class"])
+    table = docs.select("text", _spot("doc_id").alias("spot")).mapInArrow(read, "class binary, members binary").join(asked, "class", "left_semi").dropDuplicates(["class"])
     table = table.checkpoint()
     both = (pairs.join(table.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
             .join(table.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb"))
@@ -483,48 +485,53 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     limit = small_limit((squares or 1) / max(1, shingles or 1))
     buckets = max(8, math.ceil((shingles or 1) * (DEN - NUM) / DEN / BUCKET))
     packed = _emit(rows, heavy, limit, buckets).checkpoint()
-    lists = packed.filter(F.col("bucket") != HEAVY_BUCKET).groupBy("bucket").applyInArrow(_lists, "key long, times long, members array<struct<class:binary,n:long>>")
-    light = lists.groupBy("key").agg(F.sum("times").alias("times"), F.first("members").alias("members"))
+    lists = packed.filter(F.col("bucket") != HEAVY_BUCKET).groupBy("bucket").applyInArrow(_lists, "key long, more long, times long, members array<struct<class:binary,n:long>>")
+    light = lists.groupBy("key", "more").agg(F.sum("times").alias("times"), F.first("members").alias("members")).drop("more").checkpoint()
     entries = light.select("key", "times", F.size("members").alias("m"), F.explode("members").alias("x")).select("key", "times", "m", "x.class", "x.n")
+    star = light.select(F.explode("members").alias("x"), F.array_min("members").alias("p")).select("x.class", "x.n", "p")
     if top:
         often = _heavy_rows(packed).checkpoint()
-        lengths = often.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("m"))
-        entries = entries.unionByName(often.join(lengths, "key").filter("m > 1").select("key", F.lit(1).cast("long").alias("times"), "m", "class", "n"))
-    entries = entries.checkpoint()
-    # all pairs of short lists, with the keys that they share there; of a long
-    # list its members with its smallest class
-    short, long = entries.filter(F.col("m") <= SHORT), entries.filter(F.col("m") > SHORT)
-    left = short.select("key", "times", F.col("class").alias("a"), F.col("n").alias("na"))
-    right = short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "times")
-    pivot = long.groupBy("key").agg(F.min(F.struct("class", "n")).alias("p"))
-    star = long.join(pivot, "key").filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
-        F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("times"))
-    in_long = long.groupBy("class").agg(F.sum("times").alias("long")).checkpoint()
-    counted = pairs.unionByName(star).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("shared"))
-    asked = _enough(counted, in_long, limit).select("a", "b").checkpoint()
-    near = _verify(spark, rows, asked)
+        lengths = often.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min(F.struct("class", "n")).alias("p")).filter("m > 1").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = often.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(lengths, ["key", "salt"]).select(
+            "key", F.lit(1).cast("long").alias("times"), "m", "class", "n", "p").checkpoint()
+        entries = entries.unionByName(spread.drop("p"))
+        star = star.unionByName(spread.select("class", "n", "p"))
+    owners = documents.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    # the members of every list with its smallest class: no more pairs than entries
+    in_lists = entries.groupBy("class").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("m") > SHORT, F.col("times"))).alias("long")).checkpoint()
+    pairs = star.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
+        F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("shared")).distinct()
+    asked = _enough(pairs, in_lists.select("class", F.col("all").alias("long")), limit).select("a", "b").checkpoint()
+    near = _verify(spark, rows, owners, asked)
     roots = components(near).checkpoint()
-    # then members of long lists that are in different components; pairs that
-    # share a short list are settled, so what the others share is in long lists.
-    # These are read in one order, the shorter first: from its first common list
-    # on, a pair shares no more than either has left ("ahead").
-    left_ = Window.partitionBy("class").orderBy(F.desc("m"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = long.withColumn("ahead", F.sum("times").over(left_))
-    rooted = ranked.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # then the members of a list that are in different components
+    rooted = entries.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    open_ = rooted.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key")
-    stray = open_.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"))
+    open_ = rooted.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key").checkpoint()
+    # in short lists, with the keys that a pair shares there: such a pair has
+    # different components in each of its lists, so all of them are counted
+    short = open_.filter(F.col("m") <= SHORT)
+    left = short.select("key", "times", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    beside = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb")))
+    counted = beside.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("shared"))
+    # pairs that share a short list are settled by it, so what the others share
+    # is in long lists.  These are read in one order, the shorter first: from its
+    # first common list on, a pair shares no more than either has left ("ahead").
+    left_ = Window.partitionBy("class").orderBy(F.desc("m"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = open_.filter(F.col("m") > SHORT).withColumn("ahead", F.sum("times").over(left_))
+    stray = ranked.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"))
     reach = (F.least("n", "sn") <= limit) | (F.least("ahead", "sa") >= _needed(F.col("n"), F.col("sn")))
     once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("s"))
-    across = open_.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach)
+    across = ranked.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach)
     one = F.col("class") < F.col("s")
     met = across.select(F.least("class", "s").alias("a"), F.greatest("class", "s").alias("b"), F.when(one, F.col("n")).otherwise(F.col("sn")).alias("na"),
                         F.when(one, F.col("sn")).otherwise(F.col("n")).alias("nb")).distinct()
-    more = met.withColumn("shared", F.lit(0).cast("long"))
-    rest = _enough(more, in_long, limit).select("a", "b").join(asked, ["a", "b"], "left_anti").checkpoint()
+    more = counted.unionByName(met.withColumn("shared", F.lit(0).cast("long")))
+    rest = _enough(more, in_lists, limit).select("a", "b").distinct().join(asked, ["a", "b"], "left_anti").checkpoint()
     if rest.take(1):
-        roots = components(near.unionByName(_verify(spark, rows, rest))).checkpoint()
+        roots = components(near.unionByName(_verify(spark, rows, owners, rest))).checkpoint()
     return documents, roots
 
 
