@@ -27,8 +27,10 @@ classes all of them, in a longer one all members outside the component that
 most of its members have, against all members of other components.  So a group
 of near copies costs its size and not its square, and no link between
 components is lost.  Pairs whose prefixes share too little to reach the overlap
-are passed over; the others are verified on whole sets, for which the texts of
-one document of each class in question are read again.
+are passed over, and so are those whose bitmaps of whole sets differ too much:
+a bit that only one set has stands for a shingle that only it has.  The others
+are verified on whole sets, for which the texts of one document of each class in
+question are read again.
 
 Hashes: shingles have 64 bits, 48 in verification; classes have 128 bits.
 
@@ -231,13 +233,22 @@ class Order:
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary())])
-#: The bucket of packed heavy shingles, which have all their 64 bits.
-HEAVY_BUCKET = -1
+#: The bucket of packed heavy shingles, which have all their 64 bits, and that of
+#: the bitmaps of classes, of MARKS times 64 bits.
+HEAVY_BUCKET, MARKS_BUCKET = -1, -2
+MARKS = 16
+
+
+def marks_of(members: np.ndarray) -> bytes:
+    """The bitmap of a set."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[(members >> np.uint64(20)).astype(np.int64) % len(bits)] = True
+    return np.packbits(bits).tobytes()
 
 
 def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
     """Packed keys and their sets: light shingles and subsets by bucket, heavy
-    shingles in HEAVY_BUCKET."""
+    shingles in HEAVY_BUCKET; bitmaps, as keys, in MARKS_BUCKET."""
 
     def packed(cls, sizes, keys, refs, at):
         order = np.argsort(at, kind="stable")
@@ -248,8 +259,9 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
             own = keys[lo:hi] if at[lo] == HEAVY_BUCKET else keys[lo:hi].astype(np.uint32)
             yield int(at[lo]), cls[used].tobytes(), sizes[used].tobytes(), own.tobytes(), local.astype(np.uint32).tobytes()
 
-    def flush(cls, sizes, keys, refs, often, owners):
-        cls, sizes, out = np.array(cls, dtype="V16"), np.array(sizes, dtype=np.int32), []
+    def flush(cls, sizes, keys, refs, often, owners, marks):
+        cls, sizes = np.array(cls, dtype="V16"), np.array(sizes, dtype=np.int32)
+        out = [(MARKS_BUCKET, cls.tobytes(), b"", b"".join(marks), b"")]
         if keys:
             k, r = np.concatenate(keys), np.concatenate(refs)
             out += packed(cls, sizes, k, r, ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
@@ -260,7 +272,7 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
 
     def run(batches):
         shingler, order, seen = Shingler(), Order(heavy.value), set()
-        kept, total = ([], [], [], [], [], []), 0
+        kept, total = ([], [], [], [], [], [], []), 0
         for b in batches:
             for s in shingler.sets(texts(b.column(1))):
                 if not len(s):
@@ -271,7 +283,7 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
                 if len(seen) < 500_000:  # else a copy is dropped later
                     seen.add(c)
                 light, often, pairs = order.keys(s, limit)
-                cls, sizes, keys, refs, heavies, owners = kept
+                cls, sizes, keys, refs, heavies, owners, marks = kept
                 if len(light) or len(pairs):
                     keys.append(np.concatenate([light, pairs]))
                     refs.append(np.full(len(keys[-1]), len(cls), dtype=np.uint32))
@@ -282,9 +294,10 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
                     total += len(often)
                 cls.append(c)
                 sizes.append(len(s))
+                marks.append(marks_of(s))
             if total > 400_000:
                 yield flush(*kept)
-                kept, total = ([], [], [], [], [], []), 0
+                kept, total = ([], [], [], [], [], [], []), 0
         if total:
             yield flush(*kept)
 
@@ -305,6 +318,33 @@ def _heavy_rows(packed: DataFrame) -> DataFrame:
     return packed.filter(F.col("bucket") == HEAVY_BUCKET).select("classes", "sizes", "keys", "refs").mapInArrow(run, "key long, class binary, n long").distinct()
 
 
+#: The words of a bitmap, and the number of its bits that are set.
+_MARK_NAMES = [f"m{i}" for i in range(MARKS + 1)]
+
+
+def _marks(packed: DataFrame) -> DataFrame:
+    """(class, m0, m1, ...): the bitmap of every class."""
+    schema = pa.schema([("class", pa.binary()), *((m, pa.int64()) for m in _MARK_NAMES)])
+
+    def run(batches):
+        for b in batches:
+            for cls, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits = np.frombuffer(marks, np.int64).reshape(-1, MARKS)
+                full = np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64)
+                yield batch(schema, [x.tobytes() for x in np.frombuffer(cls, dtype="V16")], *(pa.array(np.ascontiguousarray(x)) for x in bits.T), pa.array(full))
+
+    ddl = "class binary, " + ", ".join(f"{m} long" for m in _MARK_NAMES)
+    return packed.filter(F.col("bucket") == MARKS_BUCKET).select("classes", "keys").mapInArrow(run, ddl).dropDuplicates(["class"])
+
+
+def _may_link(na: str, nb: str, a: str, b: str):
+    """Whether sets of these sizes can be similar by their bitmaps, the columns
+    named ``a`` and ``b`` and a number."""
+    both = sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.col(f"{b}{i}"))) for i in range(1, MARKS)), F.bit_count(F.col(f"{a}0").bitwiseAND(F.col(f"{b}0"))))
+    most = F.least(F.col(na) - F.col(f"{a}{MARKS}"), F.col(nb) - F.col(f"{b}{MARKS}")) + both
+    return DEN * most >= NUM * (F.col(na) + F.col(nb) - most)
+
+
 _LIST = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.struct([("class", pa.binary()), ("n", pa.int64())])))])
 
 
@@ -464,11 +504,11 @@ def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
     members are not the partner's, so the prefixes of a pair share at least
     ``overlap - least overlap of the larger + 1``.  ``shared`` counts what they
     share in short lists; in long ones they share no more than either has
-    there.  Sets that are found by subsets are always verified.
+    there.  Sets that are found by subsets go by their bitmaps alone.
     """
-    a, b = (in_long.select(F.col("class").alias(c), F.col("long").alias(f"l{c}")) for c in ("a", "b"))
+    a, b = (in_long.select(F.col("class").alias(c), F.col("long").alias(f"l{c}"), *(F.col(m).alias(f"{c}{i}") for i, m in enumerate(_MARK_NAMES))) for c in ("a", "b"))
     most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter((F.least("na", "nb") <= limit) | (most >= _needed(F.col("na"), F.col("nb"))))
+    return pairs.join(a, "a").join(b, "b").filter(((F.least("na", "nb") <= limit) | (most >= _needed(F.col("na"), F.col("nb")))) & _may_link("na", "nb", "a", "b"))
 
 
 def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -485,7 +525,7 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     limit = small_limit((squares or 1) / max(1, shingles or 1))
     buckets = max(8, math.ceil((shingles or 1) * (DEN - NUM) / DEN / BUCKET))
     packed = _emit(rows, heavy, limit, buckets).checkpoint()
-    lists = packed.filter(F.col("bucket") != HEAVY_BUCKET).groupBy("bucket").applyInArrow(_lists, "key long, more long, times long, members array<struct<class:binary,n:long>>")
+    lists = packed.filter(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(_lists, "key long, more long, times long, members array<struct<class:binary,n:long>>")
     light = lists.groupBy("key", "more").agg(F.sum("times").alias("times"), F.first("members").alias("members")).drop("more").checkpoint()
     entries = light.select("key", "times", F.size("members").alias("m"), F.explode("members").alias("x")).select("key", "times", "m", "x.class", "x.n")
     star = light.select(F.explode("members").alias("x"), F.array_min("members").alias("p")).select("x.class", "x.n", "p")
@@ -499,10 +539,10 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
         star = star.unionByName(spread.select("class", "n", "p"))
     owners = documents.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     # the members of every list with its smallest class: no more pairs than entries
-    in_lists = entries.groupBy("class").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("m") > SHORT, F.col("times"))).alias("long")).checkpoint()
+    in_lists = entries.groupBy("class").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("m") > SHORT, F.col("times"))).alias("long")).join(_marks(packed), "class").checkpoint()
     pairs = star.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
         F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("shared")).distinct()
-    asked = _enough(pairs, in_lists.select("class", F.col("all").alias("long")), limit).select("a", "b").checkpoint()
+    asked = _enough(pairs, in_lists.withColumn("long", F.col("all")), limit).select("a", "b").checkpoint()
     near = _verify(spark, rows, owners, asked)
     roots = components(near).checkpoint()
     # then the members of a list that are in different components
@@ -520,11 +560,12 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     # is in long lists.  These are read in one order, the shorter first: from its
     # first common list on, a pair shares no more than either has left ("ahead").
     left_ = Window.partitionBy("class").orderBy(F.desc("m"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = open_.filter(F.col("m") > SHORT).withColumn("ahead", F.sum("times").over(left_))
-    stray = ranked.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"))
+    ranked = open_.filter(F.col("m") > SHORT).withColumn("ahead", F.sum("times").over(left_)).join(in_lists.select("class", *_MARK_NAMES), "class")
+    stray = ranked.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"),
+                                                 *(F.col(m).alias(f"s{i}") for i, m in enumerate(_MARK_NAMES)))
     reach = (F.least("n", "sn") <= limit) | (F.least("ahead", "sa") >= _needed(F.col("n"), F.col("sn")))
     once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("s"))
-    across = ranked.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach)
+    across = ranked.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach & _may_link("n", "sn", "m", "s"))
     one = F.col("class") < F.col("s")
     met = across.select(F.least("class", "s").alias("a"), F.greatest("class", "s").alias("b"), F.when(one, F.col("n")).otherwise(F.col("sn")).alias("na"),
                         F.when(one, F.col("sn")).otherwise(F.col("n")).alias("nb")).distinct()

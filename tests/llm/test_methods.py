@@ -457,3 +457,19 @@ def test_pipeline_keeps_one_of_a_group_with_equal_ids(spark):
     rows_ = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (None, None, "d"), (3, "", "e"), (4, "other words in this one here", "f")]
     got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows_, "doc_id long, text string, lang string"), SF)
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", text), ("None", ""), ("3", ""), ("4", "other words in this one here")])
+
+
+def test_bitmaps_pass_over_no_similar_pair(spark):
+    rnd, pairs = random.Random(3), []
+    for _ in range(300):
+        n = rnd.choice([1, 5, 40, 300, 2000])
+        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+        b = np.unique(np.append(a[rnd.randrange(n // 3 + 1):], np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(n // 3 + 1))], dtype=np.uint64)))
+        marks = [np.frombuffer(jaccard_join.marks_of(x), np.int64).tolist() for x in (a, b)]
+        marks = [[*m, sum((x % 2**64).bit_count() for x in m)] for m in marks]
+        pairs.append([jaccard_join.similar(len(np.intersect1d(a, b)), len(a), len(b)), len(a), len(b), *marks[0], *marks[1]])
+    names = [f"{c}{i}" for c in "ab" for i in range(jaccard_join.MARKS + 1)]
+    df = spark.createDataFrame(pairs, "linked boolean, na long, nb long, " + ", ".join(f"{c} long" for c in names))
+    got = df.select("linked", jaccard_join._may_link("na", "nb", "a", "b").alias("may")).collect()
+    assert all(r.may for r in got if r.linked) and sum(r.linked for r in got) > 50
+    assert sum(not r.may for r in got if not r.linked) > 20
