@@ -67,3 +67,48 @@ def test_month_comparison_prunes_month_folders(spark, tmp_dir, sample_orders):
     assert any("order_month" in p and "2025-01" in p and "2025-03" not in p for p in parts), parts
     r = c.first()
     assert (r.total_orders1, r.total_orders2, r.revenue_change) == (80, 20, -142287.0)
+
+
+def _lineitem(spark, path, sellers=60):
+    n = F.col("id")
+    spark.range(sellers * 5).select(
+        (n % sellers + 1).alias("l_suppkey"), n.alias("l_orderkey"), n.alias("l_partkey"), (n % 7 + 1).cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_quantity"),
+        F.lit(10.0).alias("l_extendedprice"), F.lit(0.1).alias("l_tax"), F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+        F.lit("1995-03-01").cast("timestamp").alias("l_shipdate")).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_dir):
+    """A task lists many folders: with one a folder, each reads the Hadoop configuration first."""
+    for i in range(300):
+        os.makedirs(os.path.join(tmp_dir, f"seller_id={i}"))
+        with open(os.path.join(tmp_dir, f"seller_id={i}", "a_1.csv"), "w") as f:
+            f.write("order_id\n1\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(key)
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("few", "listing")
+        assert list_files(spark, tmp_dir, recursive=True).count() == 300
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    seen = sc.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("few") for s in seen.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
+    spark.conf.set(key, "7")  # what the session sets is kept
+    try:
+        list_files(spark, tmp_dir)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_small_files_of_the_upload_folder_are_written_by_many_tasks(spark, tmp_dir):
+    from orderlens.plans.queries import _upload_folder
+    _lineitem(spark, tmp_dir)
+    root = _upload_folder(spark, tmp_dir)
+    listed = list_files(spark, root, recursive=True).cache()
+    assert listed.count() == 61
+    for kind in ("orders", "header", "binary"):
+        tasks = listed.filter(F.col("filepath").contains(f"/{kind}/")).select(F.regexp_extract("filename", r"part-(\d+)", 1)).distinct().count()
+        assert tasks > 4, kind
