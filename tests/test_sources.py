@@ -112,3 +112,23 @@ def test_small_files_of_the_upload_folder_are_written_by_many_tasks(spark, tmp_d
     for kind in ("orders", "header", "binary"):
         tasks = listed.filter(F.col("filepath").contains(f"/{kind}/")).select(F.regexp_extract("filename", r"part-(\d+)", 1)).distinct().count()
         assert tasks > 4, kind
+
+
+def test_a_stored_month_has_few_files(spark, tmp_dir):
+    """Not one file from every task."""
+    n = F.col("id")
+    day = F.date_add(F.lit("2020-01-15").cast("date"), ((n % 12) * 30).cast("int"))
+    o = spark.range(0, 4800, 1, 8).select((n % 97).alias("seller_id"), n.alias("order_id"), n.alias("upload_id"), F.date_format(day, "dd-MM-yyyy").alias("order_date"), day.alias("order_dt"))
+    out = os.path.join(tmp_dir, "orders")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        write_orders(o, out, mode="overwrite")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.read.parquet(out).count() == 4800
+    files = [len([f for f in os.listdir(os.path.join(out, d)) if f.endswith(".parquet")]) for d in os.listdir(out) if d.startswith("order_month=")]
+    assert len(files) == 12 and max(files) <= 4
