@@ -217,3 +217,32 @@ def test_reasons_by_count_and_years_in_order(spark):
     assert [(r.return_reason, r.cnt) for r in kpis.return_reasons(df, ordered=True).collect()] == [("b", 2), ("a", 1)]
     from orderlens.operators.months import available_years
     assert [r.year for r in available_years(df).collect()] == [2024, 2025, 2026]
+
+
+def test_header_is_worked_out_once_a_file(spark):
+    from orderlens.sources.csv_orders import with_places
+    calls = spark.sparkContext.accumulator(0)
+
+    def head(path):
+        calls.add(1)
+        return "order_id,order_price"
+
+    texts = spark.createDataFrame([(f"/f{i}.csv",) for i in range(20)], "file_key string").repartition(2)
+    heads = texts.select("file_key", F.col("file_key").alias("source_file"), F.udf(head, "string")("file_key").alias("_head"),
+                         F.lit(True).alias("readable"), F.lit("\n").alias("_sep"))
+    assert {(r._at_order_id, r._at_order_price) for r in with_places(heads).collect()} == {(0, 1)}
+    assert calls.value == 20
+
+
+def test_owner_of_a_file_is_worked_out_once_a_file(spark, tmp_dir):
+    calls = spark.sparkContext.accumulator(0)
+
+    def owner(path):
+        calls.add(1)
+        return int(os.path.basename(path).split("_")[0])
+
+    for i in (3, 4):
+        write_csv(tmp_dir, f"{i}_a_1.csv", "order_id,order_price\n" + "".join(f"{n},{i}\n" for n in range(50)))
+    got = read_orders_csv(spark, tmp_dir, per_file={"seller_id": F.udf(owner, "bigint")("source_file")})
+    assert {(r.seller_id, r["count"], int(r.amount)) for r in got.groupBy("seller_id").agg(F.count("*").alias("count"), F.sum("order_price").alias("amount")).collect()} == {(3, 50, 150), (4, 50, 200)}
+    assert calls.value == 2
