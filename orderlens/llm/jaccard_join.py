@@ -21,7 +21,8 @@ The order is exact for any choice of heavy shingles: which ones are listed
 changes the work and not the result.
 
 Links.  The members of each list are first compared with its smallest class,
-so that a list costs its length.  These links join most classes.  Then only
+in a list of more than SHORT classes also with the one that is in most lists (of
+near copies, one with few changes), so that a list costs its length.  These links join most classes.  Then only
 members of different components are left to compare: in a list of up to SHORT
 classes all of them, in a longer one all members outside the component that
 most of its members have, against all members of other components.  So a group
@@ -30,9 +31,9 @@ components is lost.  Pairs whose prefixes share too little to reach the overlap
 are passed over, and so are those whose bitmaps of whole sets differ too much:
 a bit that only one set has stands for a shingle that only it has.  The others
 are verified on whole sets, for which the texts of one document of each class in
-question are read again.
+question are read again and shuffled compressed, which is less than their sets.
 
-Hashes: shingles have 64 bits, 48 in verification; classes have 128 bits.
+Hashes: shingles have 64 bits; classes have 128 bits.
 
 Cases: null or empty text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; null ids take part and count last for
@@ -44,6 +45,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -406,18 +408,6 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _pack(members: np.ndarray) -> bytes:
-    """48 bits of each hash."""
-    return np.ascontiguousarray(members.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    six = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.reshape(-1).view(np.uint64)
-
-
 def similar(shared: int, a: int, b: int) -> bool:
     return DEN * shared >= NUM * (a + b - shared)
 
@@ -427,15 +417,15 @@ def _verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: Data
     doc_id), one document of each class."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().checkpoint()
     bits = spark.sparkContext.broadcast(_filter_of(owners.join(asked, "class", "left_semi")))
-    sets = pa.schema([("class", pa.binary()), ("members", pa.binary())])
+    packed = pa.schema([("class", pa.binary()), ("text", pa.binary())])
 
     def read(batches):
         shingler, sent = Shingler(), set()
         for b in batches:
-            cls, members = [], []
+            cls, sent_now = [], []
             at = b.column(1).to_numpy()
-            used = pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-            for s in shingler.sets(texts(b.column(0).filter(used))):
+            used = texts(b.column(0).filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))))
+            for t, s in zip(used, shingler.sets(used), strict=True):
                 if not len(s):
                     continue
                 c = class_of(s)
@@ -444,21 +434,22 @@ def _verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: Data
                 if len(sent) < 500_000:
                     sent.add(c)
                 cls.append(c)
-                members.append(_pack(s))
-            yield batch(sets, cls, members)
+                sent_now.append(zlib.compress(t))
+            yield batch(packed, cls, sent_now)
 
-    table = docs.select("text", _spot("doc_id").alias("spot")).mapInArrow(read, "class binary, members binary").join(asked, "class", "left_semi").dropDuplicates(["class"])
-    table = table.checkpoint()
-    both = (pairs.join(table.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
-            .join(table.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb"))
+    # dealt by class once, for either side of the pairs
+    table = docs.select("text", _spot("doc_id").alias("spot")).mapInArrow(read, "class binary, text binary").join(asked, "class", "left_semi").dropDuplicates(["class"])
+    both = (pairs.join(table.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
+            .join(table.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def check(batches):
+        shingler = Shingler()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = _unpack(x), _unpack(y)
-                keep.append(similar(len(np.intersect1d(x, y)), len(x), len(y)))
+            left, right = (b.column(i).to_pylist() for i in (0, 1))
+            each = dict(zip([*left, *right], [*b.column(2).to_pylist(), *b.column(3).to_pylist()], strict=True))
+            sets = dict(zip(each, shingler.sets([zlib.decompress(t) for t in each.values()]), strict=True))
+            keep = [similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])) for x, y in zip(left, right, strict=True)]
             keep = pa.array(keep, type=pa.bool_())
             yield batch(out, b.column(0).filter(keep), b.column(1).filter(keep))
 
@@ -497,6 +488,14 @@ def _needed(a, b):
     return F.ceil((a + b) * NUM / (NUM + DEN)) - F.ceil(F.greatest(a, b) * NUM / DEN) + 1
 
 
+def _common_keys(a, b, limit: int):
+    """The lists in which two similar sets of these sizes meet at least: those of
+    the shingles that their prefixes share; of two small sets, those of the
+    2-subsets of what their longer prefixes share, which is one more."""
+    n = _needed(a, b)
+    return F.when(F.greatest(a, b) <= limit, n * (n + 1) / 2).otherwise(n)
+
+
 def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
     """The pairs that share enough of their prefixes.
 
@@ -504,11 +503,11 @@ def _enough(pairs: DataFrame, in_long: DataFrame, limit: int) -> DataFrame:
     members are not the partner's, so the prefixes of a pair share at least
     ``overlap - least overlap of the larger + 1``.  ``shared`` counts what they
     share in short lists; in long ones they share no more than either has
-    there.  Sets that are found by subsets go by their bitmaps alone.
+    there.
     """
     a, b = (in_long.select(F.col("class").alias(c), F.col("long").alias(f"l{c}"), *(F.col(m).alias(f"{c}{i}") for i, m in enumerate(_MARK_NAMES))) for c in ("a", "b"))
     most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    return pairs.join(a, "a").join(b, "b").filter(((F.least("na", "nb") <= limit) | (most >= _needed(F.col("na"), F.col("nb")))) & _may_link("na", "nb", "a", "b"))
+    return pairs.join(a, "a").join(b, "b").filter((most >= _common_keys(F.col("na"), F.col("nb"), limit)) & _may_link("na", "nb", "a", "b"))
 
 
 def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -538,10 +537,16 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
         entries = entries.unionByName(spread.drop("p"))
         star = star.unionByName(spread.select("class", "n", "p"))
     owners = documents.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    # the members of every list with its smallest class: no more pairs than entries
+    # the members of every list with its smallest class and those of a long one with
+    # the class that is in most lists: no more than two pairs an entry
     in_lists = entries.groupBy("class").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("m") > SHORT, F.col("times"))).alias("long")).join(_marks(packed), "class").checkpoint()
-    pairs = star.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).select(
-        F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("shared")).distinct()
+    long_ = entries.filter(F.col("m") > SHORT)
+    centre = long_.join(in_lists.select("class", "all"), "class").groupBy("key").agg(F.max(F.struct("all", "class", "n")).alias("c")).select(
+        "key", F.struct("c.class", "c.n").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    star = star.unionByName(long_.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(centre, ["key", "salt"]).select("class", "n", "p"))
+    star = star.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"))).withColumn("x", F.struct("class", "n"))
+    pairs = star.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).select(
+        F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.lit(0).cast("long").alias("shared")).distinct()
     asked = _enough(pairs, in_lists.withColumn("long", F.col("all")), limit).select("a", "b").checkpoint()
     near = _verify(spark, rows, owners, asked)
     roots = components(near).checkpoint()
@@ -563,7 +568,7 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     ranked = open_.filter(F.col("m") > SHORT).withColumn("ahead", F.sum("times").over(left_)).join(in_lists.select("class", *_MARK_NAMES), "class")
     stray = ranked.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"),
                                                  *(F.col(m).alias(f"s{i}") for i, m in enumerate(_MARK_NAMES)))
-    reach = (F.least("n", "sn") <= limit) | (F.least("ahead", "sa") >= _needed(F.col("n"), F.col("sn")))
+    reach = F.least("ahead", "sa") >= _common_keys(F.col("n"), F.col("sn"), limit)
     once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("s"))
     across = ranked.join(stray, "key").filter((F.col("root") != F.col("sr")) & _sizes_fit(F.col("n"), F.col("sn")) & once & reach & _may_link("n", "sn", "m", "s"))
     one = F.col("class") < F.col("s")

@@ -473,3 +473,22 @@ def test_bitmaps_pass_over_no_similar_pair(spark):
     got = df.select("linked", jaccard_join._may_link("na", "nb", "a", "b").alias("may")).collect()
     assert all(r.may for r in got if r.linked) and sum(r.linked for r in got) > 50
     assert sum(not r.may for r in got if not r.linked) > 20
+
+
+def test_jaccard_strays_of_near_copies_cost_no_square(spark, monkeypatch):
+    # copies with four changes link with those that have one, not with each other;
+    # whichever of them a list begins with, no more than a few pairs a row are asked for
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(np.arange(3, 197, 8), 1 if i % 8 == 0 else 4, replace=False):
+            words[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(words)))
+    asked, whole = [], jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "SHORT", 8)
+    monkeypatch.setattr(jaccard_join, "_verify", lambda s, d, o, pairs: asked.append(pairs.count()) or whole(s, d, o, pairs))
+    got = rows(jaccard_join.join(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(2)))
+    assert {r.component_id for r in got.values()} == {0}
+    assert sum(asked) <= 4 * len(docs), asked
