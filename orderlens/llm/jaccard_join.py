@@ -33,7 +33,8 @@ a bit that only one set has stands for a shingle that only it has.  The others
 are verified on whole sets, for which the texts of one document of each class in
 question are read again and shuffled compressed, which is less than their sets.
 
-Hashes: shingles have 64 bits; classes have 128 bits.
+Hashes: shingles have 64 bits; classes have 96 bits, as each of the shuffles of
+lists and pairs carries them and little else.
 
 Cases: null or empty text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; null ids take part and count last for
@@ -43,6 +44,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import math
 import zlib
@@ -54,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm._common import batch, small_batches, texts, word_bytes
-from orderlens.session import ensure_checkpoint_dir
+from orderlens.session import ensure_checkpoint_dir, shuffles_freed
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -71,6 +73,8 @@ HASHES_KEPT = 300_000
 #: Words of texts that are shingled in one array; lists up to SHORT classes are
 #: compared whole.
 AT_ONCE, SHORT = 100_000, 32
+#: Bytes of a class; lists that go to the JVM at once.
+CLASS, LISTS_AT_ONCE = 12, 2000
 #: Parts in which a list of more than SHORT heavy rows meets its smallest class.
 SALTS = 16
 
@@ -134,7 +138,7 @@ def _roll(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def class_of(members: np.ndarray) -> bytes:
-    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(members.tobytes(), digest_size=CLASS).digest()
 
 
 def least_overlap(n):
@@ -159,6 +163,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _class_column(classes: np.ndarray) -> pa.Array:
+    """A binary column of classes."""
+    offsets = np.arange(len(classes) + 1, dtype=np.int32) * CLASS
+    return pa.Array.from_buffers(pa.binary(), len(classes), [None, pa.py_buffer(offsets), pa.py_buffer(classes.tobytes())])
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers under 2^32 that are mostly small, compressed by their bytes' places."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    """The numbers that ``_small`` has packed."""
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 # --- pass 1: classes, frequent shingles, list lengths --------------------------
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -234,7 +254,7 @@ class Order:
         return light[:p], heavy[:max(0, p - len(light))], pairs
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 #: The bucket of packed heavy shingles, which have all their 64 bits, and that of
 #: the bitmaps of classes, of MARKS times 64 bits.
 HEAVY_BUCKET, MARKS_BUCKET = -1, -2
@@ -250,19 +270,20 @@ def marks_of(members: np.ndarray) -> bytes:
 
 def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
     """Packed keys and their sets: light shingles and subsets by bucket, heavy
-    shingles in HEAVY_BUCKET; bitmaps, as keys, in MARKS_BUCKET."""
+    shingles in HEAVY_BUCKET; bitmaps, as keys, in MARKS_BUCKET.  Keys are in the
+    order of their sets, each of which says how many are its own."""
 
     def packed(cls, sizes, keys, refs, at):
         order = np.argsort(at, kind="stable")
         keys, refs, at = keys[order], refs[order], at[order]
         cut = np.flatnonzero(np.diff(at)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
-            used, local = np.unique(refs[lo:hi], return_inverse=True)
+            used, count = np.unique(refs[lo:hi], return_counts=True)
             own = keys[lo:hi] if at[lo] == HEAVY_BUCKET else keys[lo:hi].astype(np.uint32)
-            yield int(at[lo]), cls[used].tobytes(), sizes[used].tobytes(), own.tobytes(), local.astype(np.uint32).tobytes()
+            yield int(at[lo]), cls[used].tobytes(), _small(sizes[used]), own.tobytes(), _small(count)
 
     def flush(cls, sizes, keys, refs, often, owners, marks):
-        cls, sizes = np.array(cls, dtype="V16"), np.array(sizes, dtype=np.int32)
+        cls, sizes = np.array(cls, dtype=f"V{CLASS}"), np.array(sizes, dtype=np.int64)
         out = [(MARKS_BUCKET, cls.tobytes(), b"", b"".join(marks), b"")]
         if keys:
             k, r = np.concatenate(keys), np.concatenate(refs)
@@ -303,7 +324,7 @@ def _emit(docs: DataFrame, heavy, limit: int, buckets: int) -> DataFrame:
         if total:
             yield flush(*kept)
 
-    return docs.mapInArrow(run, "bucket int, classes binary, sizes binary, keys binary, refs binary")
+    return docs.mapInArrow(run, "bucket int, classes binary, sizes binary, keys binary, counts binary")
 
 
 def _heavy_rows(packed: DataFrame) -> DataFrame:
@@ -312,12 +333,11 @@ def _heavy_rows(packed: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for cls, sizes, keys, refs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                refs = np.frombuffer(refs, np.uint32)
-                names = [x.tobytes() for x in np.frombuffer(cls, dtype="V16")]
-                yield batch(schema, np.frombuffer(keys, np.int64).tolist(), [names[r] for r in refs], np.frombuffer(sizes, np.int32)[refs].astype(np.int64).tolist())
+            for cls, sizes, keys, counts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                counts = _wide(counts)
+                yield batch(schema, pa.array(np.frombuffer(keys, np.int64)), _class_column(np.repeat(np.frombuffer(cls, dtype=f"V{CLASS}"), counts)), pa.array(np.repeat(_wide(sizes), counts)))
 
-    return packed.filter(F.col("bucket") == HEAVY_BUCKET).select("classes", "sizes", "keys", "refs").mapInArrow(run, "key long, class binary, n long").distinct()
+    return packed.filter(F.col("bucket") == HEAVY_BUCKET).select("classes", "sizes", "keys", "counts").mapInArrow(run, "key long, class binary, n long").distinct()
 
 
 #: The words of a bitmap, and the number of its bits that are set.
@@ -333,7 +353,7 @@ def _marks(packed: DataFrame) -> DataFrame:
             for cls, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 bits = np.frombuffer(marks, np.int64).reshape(-1, MARKS)
                 full = np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64)
-                yield batch(schema, [x.tobytes() for x in np.frombuffer(cls, dtype="V16")], *(pa.array(np.ascontiguousarray(x)) for x in bits.T), pa.array(full))
+                yield batch(schema, _class_column(np.frombuffer(cls, dtype=f"V{CLASS}")), *(pa.array(np.ascontiguousarray(x)) for x in bits.T), pa.array(full))
 
     ddl = "class binary, " + ", ".join(f"{m} long" for m in _MARK_NAMES)
     return packed.filter(F.col("bucket") == MARKS_BUCKET).select("classes", "keys").mapInArrow(run, ddl).dropDuplicates(["class"])
@@ -353,19 +373,18 @@ _LIST = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("times", pa.int64
 def _lists(group: pa.Table) -> pa.Table:
     """The inverted lists of a bucket with two classes or more; equal ones (by
     128 bits, "key" and "more") once, with their number."""
-    cls = np.concatenate([np.frombuffer(x, dtype="V16") for x in group["classes"].to_pylist()])
-    sizes = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group["sizes"].to_pylist()])
+    cls = np.concatenate([np.frombuffer(x, dtype=f"V{CLASS}") for x in group["classes"].to_pylist()])
+    sizes, counts = (np.concatenate([_wide(x) for x in group[c].to_pylist()]) for c in ("sizes", "counts"))
     keys = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["keys"].to_pylist()])
-    starts = np.cumsum([0, *(len(x) // 16 for x in group["classes"].to_pylist())])[:-1]
-    refs = np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.int64) + s for x, s in zip(group["refs"].to_pylist(), starts, strict=True)])
-    words = cls.view(np.uint64).reshape(-1, 2)
+    words = cls.view(np.uint32).reshape(-1, 3).astype(np.uint64)
+    words = np.stack([words[:, 0] | words[:, 1] << np.uint64(32), words[:, 2]], axis=1)
     order = np.lexsort((words[:, 1], words[:, 0]))
     other = np.append(True, (words[order[1:]] != words[order[:-1]]).any(axis=1)) if len(cls) else np.zeros(0, bool)
     number = np.empty(len(cls), np.int64)
     number[order] = np.cumsum(other) - 1
     first = order[other]
     cls, sizes, words = cls[first], sizes[first], words[first]
-    member = number[refs]
+    member = np.repeat(number, counts)
     order = np.lexsort((member, keys))
     keys, member = keys[order], member[order]
     new = np.ones(len(keys), bool)
@@ -381,9 +400,10 @@ def _lists(group: pa.Table) -> pa.Table:
     begin, length = begin[at], length[at]
     take = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum()) if len(begin) else begin
     flat = member[take]
-    values = pa.StructArray.from_arrays([pa.array([c.tobytes() for c in cls[flat]], type=pa.binary()), pa.array(sizes[flat].astype(np.int64))], names=["class", "n"])
+    values = pa.StructArray.from_arrays([_class_column(cls[flat]), pa.array(sizes[flat])], names=["class", "n"])
     offsets = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
-    return pa.table([*(pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)), pa.array(times.astype(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
+    found = pa.table([*(pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)), pa.array(times.astype(np.int64)), pa.ListArray.from_arrays(offsets, values)], schema=_LIST)
+    return pa.Table.from_batches(found.to_batches(max_chunksize=LISTS_AT_ONCE), schema=_LIST)
 
 
 # --- verification ----------------------------------------------------------------
@@ -434,7 +454,7 @@ def _verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: Data
                 if len(sent) < 500_000:
                     sent.add(c)
                 cls.append(c)
-                sent_now.append(zlib.compress(t))
+                sent_now.append(bz2.compress(b" ".join(word_bytes(t))))
             yield batch(packed, cls, sent_now)
 
     # dealt by class once, for either side of the pairs
@@ -448,7 +468,7 @@ def _verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: Data
         for b in batches:
             left, right = (b.column(i).to_pylist() for i in (0, 1))
             each = dict(zip([*left, *right], [*b.column(2).to_pylist(), *b.column(3).to_pylist()], strict=True))
-            sets = dict(zip(each, shingler.sets([zlib.decompress(t) for t in each.values()]), strict=True))
+            sets = dict(zip(each, shingler.sets([bz2.decompress(t) for t in each.values()]), strict=True))
             keep = [similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])) for x, y in zip(left, right, strict=True)]
             keep = pa.array(keep, type=pa.bool_())
             yield batch(out, b.column(0).filter(keep), b.column(1).filter(keep))
@@ -514,6 +534,11 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     """(documents, roots): (doc_id, n, class) of every document, and (node,
     root) of the classes that have links."""
     ensure_checkpoint_dir(spark)
+    with shuffles_freed(spark):
+        return _links(spark, docs)
+
+
+def _links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     rows = _rows(docs)
     first = _classes(rows).checkpoint()
@@ -551,21 +576,25 @@ def links_of(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     near = _verify(spark, rows, owners, asked)
     roots = components(near).checkpoint()
     # then the members of a list that are in different components
-    rooted = entries.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = roots.withColumnRenamed("node", "class")
+    # in short lists, each of which is gathered once, with the keys that a pair
+    # shares there: such a pair has different components in each of its lists, so
+    # all of them are counted
+    short = entries.filter(F.col("m") <= SHORT).join(rooted, "class", "left").select("key", "times", "class", "n", F.coalesce("root", "class").alias("root"))
+    x, y = F.col("x"), F.col("y")
+    beside = (short.repartition("key").groupBy("key", "times").agg(F.collect_list(F.struct("class", "n", "root")).alias("members"))
+              .select("times", "members", F.explode("members").alias("x"))
+              .select("times", "x", F.explode(F.filter("members", lambda o: (x["class"] < o["class"]) & (x["root"] != o["root"]) & _sizes_fit(x["n"], o["n"]))).alias("y")))
+    counted = beside.groupBy(x["class"].alias("a"), y["class"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")).agg(F.sum("times").alias("shared"))
+    # in long ones, those outside the component that most members have
+    rooted = entries.filter(F.col("m") > SHORT).join(rooted, "class", "left").withColumn("root", F.coalesce("root", "class"))
     main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     open_ = rooted.join(main.filter("roots > 1").select("key", F.col("main.root").alias("main")), "key").checkpoint()
-    # in short lists, with the keys that a pair shares there: such a pair has
-    # different components in each of its lists, so all of them are counted
-    short = open_.filter(F.col("m") <= SHORT)
-    left = short.select("key", "times", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    beside = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb")))
-    counted = beside.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("shared"))
     # pairs that share a short list are settled by it, so what the others share
     # is in long lists.  These are read in one order, the shorter first: from its
     # first common list on, a pair shares no more than either has left ("ahead").
     left_ = Window.partitionBy("class").orderBy(F.desc("m"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = open_.filter(F.col("m") > SHORT).withColumn("ahead", F.sum("times").over(left_)).join(in_lists.select("class", *_MARK_NAMES), "class")
+    ranked = open_.withColumn("ahead", F.sum("times").over(left_)).join(in_lists.select("class", *_MARK_NAMES), "class")
     stray = ranked.filter("root <> main").select("key", F.col("class").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("ahead").alias("sa"),
                                                  *(F.col(m).alias(f"s{i}") for i, m in enumerate(_MARK_NAMES)))
     reach = F.least("ahead", "sa") >= _common_keys(F.col("n"), F.col("sn"), limit)

@@ -492,3 +492,29 @@ def test_jaccard_strays_of_near_copies_cost_no_square(spark, monkeypatch):
     got = rows(jaccard_join.join(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(2)))
     assert {r.component_id for r in got.values()} == {0}
     assert sum(asked) <= 4 * len(docs), asked
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [1, 255, 256, 65_536, 2**32 - 1]])
+def test_small_numbers_are_packed_and_read_again(numbers):
+    assert jaccard_join._wide(jaccard_join._small(np.array(numbers, dtype=np.int64))).tolist() == numbers
+
+
+def test_jaccard_keys_are_dealt_in_few_bytes(spark):
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 400))) for i in range(40)]
+    heavy = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    packed = jaccard_join._emit(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), heavy, 2, 64).filter("bucket >= 0").collect()
+    keys = sum(len(r.keys) // 4 for r in packed)
+    assert keys == 40 * jaccard_join.prefix_length(396)
+    # a key and its owner's place took 8 bytes, a class in a bucket 20
+    assert sum(len(x) for r in packed for x in r[1:]) < 14 * keys
+
+
+def test_jaccard_frees_the_shuffle_files_of_each_step(spark, monkeypatch):
+    key, seen, whole = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], jaccard_join._verify
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(jaccard_join, "_verify", lambda s, *x: seen.append(s.conf.get(key)) or whole(s, *x))
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    got = rows(jaccard_join.join(spark, spark.createDataFrame([(1, text), (2, text + " a"), (3, "z " * 9)], "doc_id long, text string")))
+    assert seen == ["true"] and spark.conf.get(key, None) == before
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3}
