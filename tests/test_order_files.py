@@ -246,3 +246,14 @@ def test_owner_of_a_file_is_worked_out_once_a_file(spark, tmp_dir):
     got = read_orders_csv(spark, tmp_dir, per_file={"seller_id": F.udf(owner, "bigint")("source_file")})
     assert {(r.seller_id, r["count"], int(r.amount)) for r in got.groupBy("seller_id").agg(F.count("*").alias("count"), F.sum("order_price").alias("amount")).collect()} == {(3, 50, 150), (4, 50, 200)}
     assert calls.value == 2
+
+
+def test_a_cell_is_picked_once_a_row(spark, tmp_path):
+    """The picking of a column is not repeated for every mention of its value."""
+    write_csv(str(tmp_path), "1_a.csv", "order_id,order_date,order_price\n7,02-01-2025,10.5\n100.0,nan,NA\n")
+    write_csv(str(tmp_path), "2_b.csv", "order_price,order_id,order_date\n3,8,31-12-2024\nx,None,\n")
+    df = read_orders_csv(spark, str(tmp_path), pathGlobFilter="*.csv")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_at_order_id") <= 12 and "regexp_replace" not in plan.split("Join")[0]
+    got = {(r.order_id, r.order_date, str(r.order_dt), None if r.order_price is None else float(r.order_price)) for r in df.collect()}
+    assert got == {(7, "02-01-2025", "2025-01-02", 10.5), (100, None, "None", None), (8, "31-12-2024", "2024-12-31", 3.0), (None, None, "None", None)}
