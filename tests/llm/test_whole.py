@@ -1,6 +1,7 @@
 """No operator leaves out part of its input: what a cap, a sample or a gate
 would lose is in the result."""
 
+import glob
 import math
 import random
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.llm import lm, pii, secret_scan, toxicity
+from orderlens.session import ensure_checkpoint_dir
 
 
 def rows(df, key="doc_id"):
@@ -99,6 +101,29 @@ def test_lm_share_from_bins_equals_plain_sums():
     assert lm._share(n[n > 0], total[n > 0]) == pytest.approx(share, rel=1e-4)
 
 
+def test_lm_words_are_forgotten_between_texts(monkeypatch):
+    monkeypatch.setattr(lm, "WORDS_KEPT", 3)
+    monkeypatch.setattr(lm, "SLICE", 8)
+    pieces = [bytes([b]) for b in range(256)] + [b"an", b"ban"]
+    texts = [b"a banana", b"", b"Banana a ab\tb  banana", b"x" * 200, b"a"]
+    words, found = lm.Words(pieces, lambda h: (h % np.uint64(7)).astype(np.int64)), []
+    for lo, hi in lm.some_texts(texts):
+        numbers, sizes = words.of(texts[lo:hi])
+        ids, by_word = words.stream(numbers)
+        assert len(ids) == by_word.sum() and sizes.sum() == len(numbers) and len(words.known) == len(words)
+        found.extend(ids.tolist())
+    cutter = lm.Cutter(pieces)
+    assert found == [i for t in texts for w in [*lm.word_bytes(t), lm.END] for i in lm.ids_of(cutter, w)]
+
+
+def test_lm_training_leaves_no_windows_on_disk(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 3)
+    kept = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/lm-*"))
+    before = kept()
+    lm.fit(spark, corpus.withColumn("trains", F.lit(True)))
+    assert kept() == before
+
+
 # --- personal data -----------------------------------------------------------------
 
 def test_pii_terms_far_from_the_span_short_and_in_other_scripts(spark):
